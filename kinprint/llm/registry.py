@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinprint.llm import quality
+from kinprint.llm import quality, simhash
 from kinprint.session import table
 
 
@@ -15,8 +15,18 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.select("doc_id", *[F.col(q)[c].alias(c) for c in names])
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.lpad(F.hex(F.col("fp")[0]), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL = {
