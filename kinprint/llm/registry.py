@@ -5,16 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinprint.llm import quality, simhash
+from kinprint.llm import chat, mixing, quality, simhash, tokenbin
 from kinprint.session import table
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary lies; imported late, as only two queries need it."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     frame, q = quality.with_quality(table(spark, sf_dir, "documents"))
     names = "n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept failed".split()
     return frame.select("doc_id", *[F.col(q)[c].alias(c) for c in names])
 
 
+def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, m = mixing.replicate(table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id",
+        F.coalesce("source", F.lit("")).alias("source"),
+        F.round(F.col(m)["rate"], 9).alias("rate"),
+        *[F.col(m)[c].alias(c) for c in ("copies", "copy", "order_key")],
+    )
+
+
+def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = tokenbin.store(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return tokenbin.read_documents(stored).withColumnRenamed("id", "doc_id")
+
+
+def op8_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chat.with_planted(table(spark, sf_dir, "conversations"))
+    return chat.digests(chat.format_chats(rows, tokenizer_path("byte_bpe_50k.json")))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -26,9 +53,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op4_poisson_mixing": op4_poisson_mixing,
+    "op7_token_shards": op7_token_shards,
+    "op8_chat_masks": op8_chat_masks,
     "op9_simhash": op9_simhash,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality.oracle_sql(),
+    "op4_poisson_mixing": mixing.oracle_sql(),
 }
