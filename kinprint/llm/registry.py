@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinprint.llm import chat, mixing, quality, simhash, tokenbin
+from kinprint.llm import chat, decontaminate, langid, mixing, quality, simhash, tokenbin
 from kinprint.session import table
 
 
@@ -32,6 +32,11 @@ def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), "item_id", F.round("score", 6).alias("score"), "end_word", "n_seeds")
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = tokenbin.store(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return tokenbin.read_documents(stored).withColumnRenamed("id", "doc_id")
@@ -51,12 +56,21 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.learn(docs.filter("not held_out"))
+    found = langid.identify(docs, model, carry=("doc_id", "held_out"))
+    return found.select("doc_id", "held_out", F.col("lang").alias("lang_pred"), "score", F.size("spans").alias("n_spans"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op4_poisson_mixing": op4_poisson_mixing,
+    "op5_decontamination": op5_decontamination,
     "op7_token_shards": op7_token_shards,
     "op8_chat_masks": op8_chat_masks,
     "op9_simhash": op9_simhash,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {
