@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinprint.llm import chat, decontaminate, langid, mixing, quality, simhash, tokenbin
+from kinprint.llm import chat, ctw, decontaminate, langid, mixing, quality, simhash, tokenbin
 from kinprint.session import table
 
 
@@ -22,6 +22,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frame.select("doc_id", *[F.col(q)[c].alias(c) for c in names])
 
 
+def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ctw.score(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id").withColumnRenamed("held", "held_out")
+
+
 def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, m = mixing.replicate(table(spark, sf_dir, "documents"))
     return mixed.select(
@@ -65,6 +70,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_context_tree": op2_context_tree,
     "op4_poisson_mixing": op4_poisson_mixing,
     "op5_decontamination": op5_decontamination,
     "op7_token_shards": op7_token_shards,
