@@ -42,6 +42,7 @@ SHARD_IDS = 1 << 20
 DOCS_A_PART = 2_000
 MIN_PAIRS = 8  # a pair that occurs less often is not replaced
 PAIRS_A_ROUND = 4_096
+HASH_BITS = 18
 SYMBOLS = 1 << 16
 CACHE_WORDS = 250_000  # words of one generation; two generations are kept
 
@@ -58,6 +59,10 @@ class WordEncoder:
             raise ValueError("ids must leave room for nonterminals in 16 bits")
         self.mark = next(t for t in self.tok.get_added_tokens_decoder().values() if t.content == "<|endoftext|>").content
         self.mark_id = self.tok.token_to_id(self.mark)
+        pieces = self.tok.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(self.vocab, bool)  # ids that end a piece
+        self.last[[i for x, i in pieces.items() if x.endswith("</w>")]] = True
+        self.raw = [i.to_bytes(2, "little") for i in range(self.vocab)]
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -75,6 +80,20 @@ class WordEncoder:
                 self.young[w] = raw[at:end]
                 at = end + 2
 
+    def _encode_letters(self, words: list[bytes]) -> None:
+        """Words of letters only: each is one piece, so its last id tells where it ends."""
+        for k in range(0, len(words), 1024):
+            part = words[k : k + 1024]
+            ids = self._ids(" ".join(w.decode() for w in part))
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                self._encode(part)
+                continue
+            raw, at = ids.tobytes(), 0
+            for w, end in zip(part, (2 * ends).tolist(), strict=True):
+                self.young[w] = raw[at:end]
+                at = end
+
     def _learn(self, words: set[bytes]) -> None:
         whole, tailed = [], []
         for w in words:
@@ -90,7 +109,15 @@ class WordEncoder:
         known = [w for w in stems if w not in self.young and w in self.old]
         self.young |= {w: self.old[w] for w in known}
         whole = set(whole).union(stems).difference(self.young)
-        self._encode(list(whole))
+        plain = [w for w in whole if w.isascii() and w.isalpha()]
+        # Plain letters are left as they are by all that comes before the merges but for case.
+        pieces, young = self.tok.model.tokenize, self.young
+        for w in plain:
+            young[w] = b"".join([self.raw[x.id] for x in pieces(w.lower().decode())])
+        whole.difference_update(plain)
+        letters = [w for w in whole if w.decode().isalpha()]
+        self._encode_letters(letters)
+        self._encode(list(whole.difference(letters)))
         for w in tailed:
             self.young[w] = self.young[w[:-1]] + self.young[w[-1:]]
 
@@ -137,8 +164,12 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
         pair, count = pair[sort], count[sort]
         rank = np.empty(len(pair), np.int32)
         rank[np.argsort(count, kind="stable")] = np.arange(1, len(pair) + 1)
-        place = np.searchsorted(pair, key)
-        place[place == len(pair)] = 0
+        # Pairs are found by a hash; of pairs that meet in it one waits for a later round.
+        hashed = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - HASH_BITS)
+        slot = np.zeros(1 << HASH_BITS, np.uint16)
+        by_rank = np.argsort(rank)
+        slot[(pair[by_rank] * np.uint32(0x9E3779B1)) >> np.uint32(32 - HASH_BITS)] = by_rank
+        place = slot[hashed]
         weight = np.where(pair[place] == key, rank[place], 0)
         # Of overlapping occurrences the more frequent pair wins, and the first of equals.
         take = weight > 0
