@@ -44,7 +44,7 @@ MIN_PAIRS = 8  # a pair that occurs less often is not replaced
 PAIRS_A_ROUND = 4_096
 HASH_BITS = 18
 SYMBOLS = 1 << 16
-CACHE_WORDS = 250_000  # words of one generation; two generations are kept
+CACHE_WORDS = 400_000  # words of one generation; two generations are kept
 
 
 class WordEncoder:
