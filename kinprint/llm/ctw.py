@@ -32,10 +32,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinprint.llm.blocks import bucket_of, dealt, pack, pack_small, unpack, unpack_small
 from kinprint.session import written
 
 DEPTH = 6  # context bytes; seven bytes make a key of 64 bits at most
@@ -234,50 +234,11 @@ def _count(texts, held, gram_counts: Counter64, word_counts: Counter64, depth: i
     flush(False)
 
 
-# Keys travel packed: differences of sorted keys, by byte planes, compressed.
-
-
-def pack(values: np.ndarray) -> bytes:
-    step = np.diff(values.astype("<u8"), prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(step.view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
-
-
-def pack_small(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
-
-
-def unpack_small(blob: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
-
-
-def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        h = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-    return ((h >> np.uint64(40)) % np.uint64(buckets)).astype(np.int32)
-
-
-def dealt(key: np.ndarray, buckets: np.ndarray):
-    """(bucket, places of its keys) for each bucket that has any; places keep their order."""
-    if not len(buckets):
-        return
-    order = np.argsort(buckets, kind="stable")
-    held = buckets[order]
-    edge = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
-    for a, b in zip(edge, [*edge[1:], len(held)], strict=True):
-        yield int(held[a]), order[a:b]
-
-
 PACKED = "kind int, bucket int, keys binary, counts binary"
 
 
 def _packed(kind: int, key: np.ndarray, n: np.ndarray, buckets: np.ndarray):
-    for bucket, at in dealt(key, buckets):
+    for bucket, at in dealt(buckets):
         yield pa.RecordBatch.from_arrays(
             [pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([pack(key[at])]), pa.array([pack_small(n[at].astype("<i8"))])],
             names=["kind", "bucket", "keys", "counts"],
@@ -414,7 +375,7 @@ def learn(rows: DataFrame, depth: int, buckets: int) -> tuple[DataFrame, Model]:
                     value = np.concatenate(
                         [log10_probability(key[at : at + (1 << 17)], levels, depth) for at in range(0, len(key), 1 << 17)] or [np.empty(0)]
                     ).astype("<f4")
-                    places = dealt(key, bucket_of(key, buckets))
+                    places = dealt(bucket_of(key, buckets))
                 for bucket, at in places:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([pack(key[at])]), pa.array([pack_small(value[at])])],
@@ -436,7 +397,7 @@ def _asked(depth: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         block, rows = table.column("block")[0].as_py(), []
         for kind, key in zip((GRAM, WORD), _distinct(table.column("text"), depth), strict=True):
-            rows += [(kind, b, block, pack(key[at])) for b, at in dealt(key, bucket_of(key, buckets))]
+            rows += [(kind, b, block, pack(key[at])) for b, at in dealt(bucket_of(key, buckets))]
         kinds, ids, blocks, keys = zip(*rows, strict=True)
         return pa.table(
             {"kind": pa.array(kinds, pa.int32()), "bucket": pa.array(ids, pa.int32()), "block": pa.array(blocks, pa.int32()), "keys": pa.array(keys)}
@@ -466,7 +427,7 @@ def _scored(depth: int, buckets: int, n_tokens: int, n_words: int):
         tables = []
         for kind, key, dtype in zip((GRAM, WORD), _distinct(docs.column("text"), depth), ("<f4", "<u4"), strict=True):
             value = np.empty(len(key))
-            for b, at in dealt(key, bucket_of(key, buckets)):
+            for b, at in dealt(bucket_of(key, buckets)):
                 value[at] = unpack_small(by[kind, b], dtype)
             tables.append((key, value))
         (gram_key, gram_value), (word_key, word_count) = tables

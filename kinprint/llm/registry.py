@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinprint.llm import chat, ctw, decontaminate, langid, mixing, quality, simhash, tokenbin
+from kinprint.llm import chat, ctw, decontaminate, langid, mixing, quality, simhash, suffixes, tokenbin
 from kinprint.session import table
 
 
@@ -42,6 +42,17 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "item_id", F.round("score", 6).alias("score"), "end_word", "n_seeds")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = tokenbin.store(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
     return tokenbin.read_documents(stored).withColumnRenamed("id", "doc_id")
@@ -73,6 +84,7 @@ QUERIES = {
     "op2_context_tree": op2_context_tree,
     "op4_poisson_mixing": op4_poisson_mixing,
     "op5_decontamination": op5_decontamination,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_token_shards": op7_token_shards,
     "op8_chat_masks": op8_chat_masks,
     "op9_simhash": op9_simhash,

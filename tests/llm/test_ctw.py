@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from kinprint.llm import ctw, registry
+from kinprint.llm import blocks, ctw, registry
 
 
 def kt(a, b):
@@ -116,7 +116,7 @@ def test_no_training_rows_and_empty_table(spark):
 def test_packing():
     keys = np.sort(np.random.default_rng(0).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
     for k in (keys, keys[:1], keys[:0]):
-        assert (ctw.unpack(ctw.pack(k)) == k).all()
+        assert (blocks.unpack(blocks.pack(k)) == k).all()
 
 
 def test_probabilities_sum_to_one():
