@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinprint.llm import chat, ctw, decontaminate, langid, mixing, quality, simhash, suffixes, tokenbin
+from kinprint.llm import chat, ctw, decontaminate, langid, mixing, quality, simhash, suffixes, tokenbin, warc
 from kinprint.session import table
 
 
@@ -27,6 +27,11 @@ def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("id", "doc_id").withColumnRenamed("held", "held_out")
 
 
+def op3_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+    return warc.summaries(made).withColumnRenamed("key", "page_id")
+
+
 def op4_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, m = mixing.replicate(table(spark, sf_dir, "documents"))
     return mixed.select(
@@ -82,6 +87,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_context_tree": op2_context_tree,
+    "op3_warc_derivatives": op3_warc_derivatives,
     "op4_poisson_mixing": op4_poisson_mixing,
     "op5_decontamination": op5_decontamination,
     "op6_suffix_dedup": op6_suffix_dedup,
