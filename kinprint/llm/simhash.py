@@ -238,3 +238,19 @@ def similar(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     p = SIMILAR
     prints = written(fingerprints(docs, p["width"], p["n_words"], id_col, text_col), "simhash")
     return components(prints, p["bits"], p["budget"], p["limit"])
+
+
+def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """One row of each group of similar texts: that of the smallest id, with the columns of ``docs``.
+
+    Rows that share the kept id count as one document; the least of them by its columns' values stays.
+    Rows without an id can't be told apart and stay.
+    """
+    ident = F.col(f"`{id_col}`")
+    kept = similar(docs, id_col, text_col).filter("id = component").select(F.col("id").alias("__kept"))
+    kept = written(kept.groupBy("__kept").count(), "simhash-kept")
+    left = docs.filter(ident.isNotNull()).join(kept.select("__kept"), ident.cast("long") == F.col("__kept"), "left_semi")
+    if kept.filter("count > 1").limit(1).count():
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        left = left.groupBy(ident.alias("__id")).agg(F.min(F.struct(*columns)).alias("__row")).select("__row.*")
+    return left.unionByName(docs.filter(ident.isNull()))
