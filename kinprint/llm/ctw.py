@@ -94,75 +94,104 @@ def log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
     return _log_gamma_half(zeros) + _log_gamma_half(ones) - math.log(math.pi) - _log_factorial(zeros + ones)
 
 
-def decisions(context: np.ndarray, byte: np.ndarray, n: np.ndarray):
-    """(node, zeros, ones) sorted by node; a node is context * 256 + (1 and the bits so far)."""
-    nodes, bits, counts = [], [], []
-    for j in range(8):
-        nodes.append((context << np.uint64(8)) | np.uint64(1 << j) | (byte >> np.uint64(8 - j)))
-        bits.append((byte >> np.uint64(7 - j)) & np.uint64(1))
-        counts.append(n)
-    node, bit, count = map(np.concatenate, (nodes, bits, counts))
-    known, place = np.unique(node, return_inverse=True)
-    ones = np.bincount(place, weights=count * bit.astype(np.float64), minlength=len(known))
-    both = np.bincount(place, weights=count, minlength=len(known))
-    return known, both - ones, ones
-
-
-class Level:
-    """All decisions of one depth: nodes, counts, weight of the own estimate, log P_w."""
-
-    def __init__(self, node, zeros, ones, below: Level | None):
-        self.node, self.zeros, self.ones = node, zeros, ones
-        own = log_kt(zeros, ones)
-        if below is None:
-            self.weight, self.log_w = np.ones(len(node)), own
-        else:
-            # A child's context has one byte more, between the shorter context and the bits.
-            parent = ((below.node >> np.uint64(16)) << np.uint64(8)) | (below.node & np.uint64(255))
-            split = np.bincount(np.searchsorted(node, parent), weights=below.log_w, minlength=len(node))
-            self.weight = 1 / (1 + np.exp(np.clip(split - own, -700, 700)))
-            self.log_w = np.logaddexp(own, split) - math.log(2)
-
-    def mix(self, node: np.ndarray, bit: np.ndarray, deeper: np.ndarray | None, seen_deeper: np.ndarray | None):
-        """The probability of ``bit`` at each node from here down, and where this depth has seen it."""
-        if not len(self.node):
-            return np.full(len(node), 0.5), np.zeros(len(node), bool)
-        place = np.minimum(np.searchsorted(self.node, node), len(self.node) - 1)
-        seen = self.node[place] == node
-        zeros, ones = self.zeros[place], self.ones[place]
-        p = (np.where(bit == 1, ones, zeros) + 0.5) / (zeros + ones + 1.0)
-        if deeper is not None:
-            w = self.weight[place]
-            p = np.where(seen_deeper, w * p + (1 - w) * deeper, p)
-        return np.where(seen, p, 0.5), seen
-
-
-def build(key: np.ndarray, n: np.ndarray, depth: int, shallowest: int) -> list[Level]:
-    """Levels from ``shallowest`` to ``depth`` of the grams' trees; grams without counts don't take part."""
-    key, n = key[n > 0], n[n > 0].astype(np.float64)
-    byte = key & np.uint64(255)
-    levels: list[Level] = []
-    below = None
-    for d in range(depth, shallowest - 1, -1):
-        context = key >> np.uint64(8 * (depth - d + 1))
-        below = Level(*decisions(context, byte, n), below)
-        levels.insert(0, below)
-    return levels
-
-
-def log10_probability(key: np.ndarray, levels: list[Level], depth: int) -> np.ndarray:
-    """log10 of each gram's byte after its context; ``levels`` begin at depth 0."""
-    byte = key & np.uint64(255)
-    total = np.zeros(len(key))
-    for j in range(8):
-        bit = (byte >> np.uint64(7 - j)) & np.uint64(1)
-        so_far = np.uint64(1 << j) | (byte >> np.uint64(8 - j))
-        p = seen = None
-        for d in range(depth, -1, -1):
-            context = key >> np.uint64(8 * (depth - d + 1)) if d else np.zeros(len(key), np.uint64)
-            p, seen = levels[d].mix((context << np.uint64(8)) | so_far, bit, p, seen)
-        total += np.log10(p)
-    return total
+class Trees:
+    """The trees of one group of contexts, from the sorted distinct grams and their counts.
+
+    A level is the sorted distinct (context, byte) pairs of a depth. The pairs of one decision (a
+    context and the bits so far) are neighbours in that order, so nodes are runs and need no
+    search; ``up`` leads from a pair to that of the next shorter context.
+    """
+
+    def __init__(self, key: np.ndarray, n: np.ndarray, depth: int, shallowest: int):
+        self.shallowest = shallowest
+        self.pairs, self.counts, self.up = [key], [n.astype(np.float64)], []
+        for _ in range(depth, shallowest, -1):
+            last = self.pairs[-1]
+            pair, place = np.unique(((last >> np.uint64(16)) << np.uint64(8)) | (last & np.uint64(255)), return_inverse=True)
+            self.up.append(place)
+            self.pairs.append(pair)
+            self.counts.append(np.bincount(place, weights=self.counts[-1], minlength=len(pair)))
+
+    def decided(self, j: int):
+        """For bit j, from the deepest level up: (run of each pair, first pair of each run, zeros, ones, weight, log P_w)."""
+        below, levels = None, []
+        for k, (pair, count) in enumerate(zip(self.pairs, self.counts, strict=True)):
+            so_far = pair >> np.uint64(8 - j)
+            new = np.r_[True, so_far[1:] != so_far[:-1]] if len(pair) else np.empty(0, bool)
+            run, first = np.cumsum(new) - 1, np.flatnonzero(new)
+            bit = ((pair >> np.uint64(7 - j)) & np.uint64(1)).astype(np.float64)
+            both = np.add.reduceat(count, first) if len(first) else count
+            ones = np.add.reduceat(count * bit, first) if len(first) else count
+            zeros = both - ones
+            own = log_kt(zeros, ones)
+            if below is None:
+                weight, log_w = np.ones(len(first)), own
+            else:
+                child_first, child_log = below
+                split = np.bincount(run[self.up[k - 1][child_first]], weights=child_log, minlength=len(first))
+                weight, log_w = mixture(own, split)
+            levels.append((run, first, zeros, ones, weight, log_w))
+            below = first, log_w
+        return levels
+
+    def summary(self):
+        """(node, zeros, ones, log P_w) of the shallowest level; a node is context * 256 + (1 and the bits so far)."""
+        parts = []
+        for j in range(8):
+            _, first, zeros, ones, _, log_w = self.decided(j)[-1]
+            pair = self.pairs[-1][first]
+            bits = np.uint64(1 << j) | ((pair & np.uint64(255)) >> np.uint64(8 - j))
+            parts.append((((pair >> np.uint64(8)) << np.uint64(8)) | bits, zeros, ones, log_w))
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def log10_probability(self, top: list[Top]) -> np.ndarray:
+        """log10 of each gram's byte after its context; ``top`` has the depths above."""
+        total = np.zeros(len(self.pairs[0]))
+        for j in range(8):
+            bit = ((self.pairs[0] >> np.uint64(7 - j)) & np.uint64(1)).astype(bool)
+            place, p, seen = np.arange(len(bit)), None, None
+            for k, (run, _, zeros, ones, weight, _) in enumerate(self.decided(j)):
+                if k:
+                    place = self.up[k - 1][place]
+                node = run[place]
+                p, seen = _mixed(p, seen, zeros[node], ones[node], weight[node], bit)
+            context = self.pairs[-1][place] >> np.uint64(8)
+            byte = self.pairs[0] & np.uint64(255)
+            so_far = (np.uint64(1 << j) | (byte >> np.uint64(8 - j))).astype(np.int64)
+            for d in range(self.shallowest - 1, -1, -1):
+                level = top[d]
+                near1 = (context >> np.uint64(8 * (self.shallowest - d))).astype(np.int64) if d else 0
+                node = near1 * 256 + so_far
+                p, seen = _mixed(p, seen, level.zeros[node], level.ones[node], level.weight[node], bit)
+            total += np.log10(p)
+        return total
+
+
+def mixture(own: np.ndarray, split: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The weight of a node's own estimate, and its log P_w."""
+    return 1 / (1 + np.exp(np.clip(split - own, -700, 700))), np.logaddexp(own, split) - math.log(2)
+
+
+def _mixed(deeper, seen_deeper, zeros, ones, weight, bit):
+    """The probability of ``bit`` from this depth down, and where this depth has seen the decision."""
+    both = zeros + ones
+    p = (np.where(bit, ones, zeros) + 0.5) / (both + 1.0)
+    if deeper is not None:
+        p = np.where(seen_deeper, weight * p + (1 - weight) * deeper, p)
+    seen = both > 0
+    return np.where(seen, p, 0.5), seen
+
+
+class Top:
+    """One of the uppermost depths: tables by context * 256 + (1 and the bits so far)."""
+
+    def __init__(self, depth: int, node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, split: np.ndarray):
+        size = 256 ** (depth + 1)
+        self.zeros, self.ones, below = np.zeros(size), np.zeros(size), np.zeros(size)
+        np.add.at(self.zeros, node, zeros)
+        np.add.at(self.ones, node, ones)
+        np.add.at(below, node, split)
+        self.weight, self.log_w = mixture(log_kt(self.zeros, self.ones), below)
 
 
 # --- over the corpus ----------------------------------------------------------------------
@@ -298,45 +327,41 @@ def _streamed(merge):
 
 
 class Model:
-    """Totals of the unigram base, and the two uppermost depths of the trees."""
+    """Totals of the unigram base, and the uppermost depths of the trees."""
 
-    def __init__(self, n_tokens: int, n_words: int, top: list[Level], depth: int):
+    def __init__(self, n_tokens: int, n_words: int, top: list[Top], depth: int):
         self.n_tokens, self.n_words, self.top, self.depth = n_tokens, n_words, top, depth
 
 
-def top_levels(counts: DataFrame, depth: int) -> list[Level]:
-    """The levels of depth 0 and 1, from sums over the buckets: at most 256 * 255 rows."""
+def tops(node: np.ndarray, zeros: np.ndarray, ones: np.ndarray, log_w: np.ndarray) -> list[Top]:
+    """Depths 0 and 1, from sums over the children by node of depth 1."""
+    one = Top(1, node, zeros, ones, log_w)
+    every = np.arange(65536)
+    return [Top(0, every & 255, one.zeros, one.ones, one.log_w), one]
+
+
+def top_levels(counts: DataFrame, depth: int) -> list[Top]:
+    """Depths 0 and 1, from sums over the buckets: at most 256 * 255 rows."""
 
     def run(batches):
         for batch in batches:
             for keys, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                level = build(unpack(keys), unpack_small(n, "<i8"), depth, SHARED)[0]
+                node, *sums = Trees(unpack(keys), unpack_small(n, "<i8"), depth, SHARED).summary()
+                # A child's context has one byte more, between the shorter context and the bits.
+                parent = ((node >> np.uint64(16)) << np.uint64(8)) | (node & np.uint64(255))
+                known, place = np.unique(parent, return_inverse=True)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array((level.node >> np.uint64(16)).astype(np.int32)),
-                        pa.array((level.node & np.uint64(255)).astype(np.int32)),
-                        pa.array(level.zeros), pa.array(level.ones), pa.array(level.log_w),
-                    ],
-                    names=["near", "bits", "zeros", "ones", "log_w"],
-                )
+                    [pa.array(known.astype(np.int32)), *(pa.array(np.bincount(place, weights=x, minlength=len(known))) for x in sums)],
+                    names=["node", "zeros", "ones", "log_w"],
+                )
 
     sums = (
         counts.filter(F.col("kind") == GRAM).select("keys", "counts")
-        .mapInArrow(run, "near int, bits int, zeros double, ones double, log_w double")
-        .groupBy("near", "bits").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_w").alias("log_w"))
-    )
-    got = sums.toArrow().sort_by([("near", "ascending"), ("bits", "ascending")])
-    first, bits, zeros, ones, split = (got.column(c).to_numpy() for c in ("near", "bits", "zeros", "ones", "log_w"))
-    node = (first.astype(np.uint64) << np.uint64(8)) | bits.astype(np.uint64)
-    below = Level.__new__(Level)  # the children's log P_w, already summed by parent
-    below.node = ((node >> np.uint64(8)) << np.uint64(16)) | (node & np.uint64(255))
-    below.log_w = split
-    one = Level(node, zeros, ones, below)
-    root, place = np.unique(node & np.uint64(255), return_inverse=True)
-    zero = Level(
-        root, np.bincount(place, weights=zeros, minlength=len(root)), np.bincount(place, weights=ones, minlength=len(root)), one
-    )
-    return [zero, one]
+        .mapInArrow(run, "node int, zeros double, ones double, log_w double")
+        .groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_w").alias("log_w"))
+    )
+    got = sums.toArrow()
+    return tops(*(got.column(c).to_numpy() for c in ("node", "zeros", "ones", "log_w")))
 
 
 VALUES = "kind int, bucket int, keys binary, answers binary"
@@ -371,10 +396,7 @@ def learn(rows: DataFrame, depth: int, buckets: int) -> tuple[DataFrame, Model]:
                 if kind == WORD:
                     value, places = n.astype("<u4"), [(own, np.arange(len(key)))]
                 else:
-                    levels = [*shipped.value, *build(key, n, depth, SHARED)]
-                    value = np.concatenate(
-                        [log10_probability(key[at : at + (1 << 17)], levels, depth) for at in range(0, len(key), 1 << 17)] or [np.empty(0)]
-                    ).astype("<f4")
+                    value = Trees(key, n, depth, SHARED).log10_probability(shipped.value).astype("<f4")
                     places = dealt(bucket_of(key, buckets))
                 for bucket, at in places:
                     yield pa.RecordBatch.from_arrays(

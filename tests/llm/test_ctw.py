@@ -122,10 +122,15 @@ def test_packing():
 def test_probabilities_sum_to_one():
     data = b"abracadabra abracadabra\n"
     key, n = np.unique(ctw.grams(data, 3), return_counts=True)
-    levels = ctw.build(key, n, 3, 0)
-    context = key[5] >> np.uint64(8) << np.uint64(8)
-    every = context | np.arange(256, dtype=np.uint64)
-    assert (10 ** ctw.log10_probability(every, levels, 3)).sum() == pytest.approx(1)
+    every = (key[5] >> np.uint64(8) << np.uint64(8)) | np.arange(256, dtype=np.uint64)
+    whole = np.union1d(key, every)
+    count = np.zeros(len(whole), np.int64)
+    count[np.searchsorted(whole, key)] = n
+    trees = ctw.Trees(whole, count, 3, ctw.SHARED)
+    node, *sums = trees.summary()
+    parent = ((node >> np.uint64(16)) << np.uint64(8)) | (node & np.uint64(255))
+    p = trees.log10_probability(ctw.tops(parent.astype(np.int64), *sums))
+    assert (10 ** p[np.searchsorted(whole, every)]).sum() == pytest.approx(1)
 
 
 def test_beats_the_base_on_held_out_texts(spark):
