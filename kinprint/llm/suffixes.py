@@ -38,7 +38,7 @@ from kinprint.llm.blocks import bucket_of, dealt, pack, pack_small, unpack, unpa
 LENGTH = 50
 Q = 24
 PIECE = 1 << 20  # bytes that are hashed at once
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
 BUCKET_BYTES = 8_000_000
 MAX_BUCKETS = 1 << 14
 NO_ID = np.iinfo(np.int64).max
@@ -260,7 +260,7 @@ def refined(rows: np.ndarray) -> np.ndarray:
 
 
 #: Contexts that are refined at once.
-GROUP = 1 << 16
+GROUP = 1 << 14
 
 
 def _judged(table: pa.Table) -> pa.Table:
@@ -269,23 +269,39 @@ def _judged(table: pa.Table) -> pa.Table:
     ids = np.concatenate([unpack_small(x, "<i8") for x in table.column("ids").to_pylist()])
     sides = np.concatenate([unpack_small(x, np.uint8).reshape(2, -1) for x in table.column("sides").to_pylist()], axis=1)
     rows = np.concatenate([unpack_small(x, np.uint8).reshape(-1, WIDTH) for x in table.column("rows").to_pylist()])
-    # Strings of different anchors never meet, so contexts are refined by groups of anchors.
-    gram = rows[:, LENGTH - Q : LENGTH]
-    group_of = _fold_grams(gram)
-    order = np.argsort(group_of, kind="stable")
     flags = np.zeros(len(ids), np.uint32)
-    edge = np.flatnonzero(np.r_[True, group_of[order][1:] != group_of[order][:-1]])
+    # A context that several blocks have is judged once, for its smallest document. Equal names are
+    # compared byte by byte; contexts that only share a name are judged on their own.
+    name = np.concatenate(names)
+    order = np.lexsort((ids, name))
+    new = np.r_[True, name[order][1:] != name[order][:-1]]
+    first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    same = (rows[order] == rows[first]).all(axis=1) & (sides[:, order] == sides[:, first]).all(axis=0)
+    judge = order[new | ~same]
+    # Strings of different anchors never meet, so contexts are refined by groups of anchors, and an
+    # anchor with one context has nothing to meet.
+    gram = _fold_grams(rows[judge, LENGTH - Q : LENGTH])
+    judge, gram = judge[np.argsort(gram, kind="stable")], np.sort(gram)
+    edge = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+    count = np.diff(np.r_[edge, len(gram)])
+    judge, gram = judge[np.repeat(count > 1, count)], gram[np.repeat(count > 1, count)]
+    edge = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.empty(0, np.int64)
     begin = 0
-    while begin < len(order):
-        stop_at = np.searchsorted(edge, begin + GROUP, "right")
-        stop = int(edge[stop_at - 1]) if stop_at and edge[stop_at - 1] > begin else 0
-        if begin + GROUP >= len(order):
-            stop = len(order)
-        elif stop <= begin:  # one anchor alone has more contexts than a group
-            stop = int(edge[stop_at]) if stop_at < len(edge) else len(order)
-        x = order[begin:stop]
+    while begin < len(judge):
+        if begin + GROUP >= len(judge):
+            stop = len(judge)
+        else:
+            k = int(np.searchsorted(edge, begin + GROUP, "right"))
+            stop = int(edge[k - 1])
+            if stop <= begin:  # one anchor alone has more contexts than a group
+                stop = int(edge[k]) if k < len(edge) else len(judge)
+        x = judge[begin:stop]
         flags[x] = _flags(rows[x], sides[0][x], sides[1][x], ids[x])
         begin = stop
+    # The others of a context follow from its smallest document: all strings if that is smaller.
+    every = np.uint32((1 << (LENGTH - Q + 1)) - 1)
+    rest = ~new & same
+    flags[order[rest]] = np.where(ids[order[rest]] > ids[first[rest]], every, flags[first[rest]])
     at, found = 0, []
     for n in names:
         found.append(pack_small(flags[at : at + len(n)]))
