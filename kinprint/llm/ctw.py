@@ -440,6 +440,14 @@ def _answered(asked: pa.Table, known: pa.Table) -> pa.Table:
     return asked.select(["kind", "bucket", "block"]).append_column("answers", pa.array(found, pa.binary()))
 
 
+def _looked_up(known: np.ndarray, values: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The value of each key. Keys are looked up in ascending order, which stays within the processor's cache."""
+    order = np.argsort(key)
+    out = np.empty(len(key), values.dtype)
+    out[order] = values[np.searchsorted(known, key[order])]
+    return out
+
+
 def _scored(depth: int, buckets: int, n_tokens: int, n_words: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         by = {
@@ -455,24 +463,46 @@ def _scored(depth: int, buckets: int, n_tokens: int, n_words: int):
         (gram_key, gram_value), (word_key, word_count) = tables
         word_value = np.log10((word_count + 1) / (n_tokens + n_words + 1))
         word_known = word_count > 0
-        out = []
-        for at in range(0, docs.num_rows, 256):
-            for text in docs.column("text").slice(at, 256).cast(pa.binary()).to_pylist():
-                words = tokens(text)
+        n = docs.num_rows
+        counted, n_known, n_bytes = (np.zeros(n, np.int64) for _ in range(3))
+        base, total = np.zeros(n), np.zeros(n)
+        waiting: list[tuple[int, np.ndarray]] = []
+
+        def flush():
+            if waiting:
+                row = np.array([k for k, _ in waiting])
+                size = np.array([len(x) for _, x in waiting])
+                value = _looked_up(gram_key, gram_value, np.concatenate([x for _, x in waiting])).astype(np.float64)
+                np.add.at(total, row, np.add.reduceat(value, np.cumsum(size) - size))
+                waiting.clear()
+
+        for at in range(0, n, 256):
+            texts = docs.column("text").slice(at, 256).cast(pa.binary()).to_pylist()
+            split = [tokens(text) for text in texts]
+            keys = [word_keys(words) for words in split]
+            place = _looked_up(word_key, np.arange(len(word_key)), np.concatenate(keys))
+            size = np.array([len(k) for k in keys])
+            first = np.cumsum(size) - size
+            here = slice(at, at + len(texts))
+            counted[here] = size
+            n_known[here] = np.add.reduceat(word_known[place].astype(np.int64), first)
+            base[here] = np.add.reduceat(word_value[place], first)
+            held = 0
+            for k, words in enumerate(split, at):
                 data = encoded(words)
-                place = np.searchsorted(word_key, word_keys(words))
-                score = 0.0
+                n_bytes[k] = len(data)
                 for piece in range(0, len(data), CHUNK):
                     lead = data[max(0, piece - depth) : piece]
-                    keys = grams(lead + data[piece : piece + CHUNK], depth)[len(lead) :]
-                    score += float(gram_value[np.searchsorted(gram_key, keys)].sum())
-                out.append((len(words) + 1, int(word_known[place].sum()), float(word_value[place].sum()), score, len(data)))
-        cols = list(zip(*out, strict=True)) or [()] * 5
+                    waiting.append((k, grams(lead + data[piece : piece + CHUNK], depth)[len(lead) :]))
+                    held += len(waiting[-1][1])
+                    if held >= CHUNK:
+                        flush()
+                        held = 0
+            flush()
         return pa.table(
             {
-                "id": docs.column("id"), "held": docs.column("held"), "n_tokens": pa.array(cols[0], pa.int64()),
-                "n_known": pa.array(cols[1], pa.int64()), "base_score": pa.array(cols[2], pa.float64()),
-                "score": pa.array(cols[3], pa.float64()), "n_bytes": pa.array(cols[4], pa.int64()),
+                "id": docs.column("id"), "held": docs.column("held"), "n_tokens": pa.array(counted), "n_known": pa.array(n_known),
+                "base_score": pa.array(base), "score": pa.array(total), "n_bytes": pa.array(n_bytes),
             }
         )
 
