@@ -17,7 +17,7 @@ an empty table gives an empty table; other columns are not read.
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -98,31 +98,28 @@ def _bucket_pairs(bits: int, budget: int, limit: int | None):
             return
         table = pa.Table.from_batches(held).combine_chunks()
         key = table.column("key").to_numpy()
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        string = table.column("s").to_numpy()[order].astype(np.uint64)
+        string = table.column("s").to_numpy().view(np.uint64)
+        order = np.lexsort((string, key))
+        key, string = key[order], string[order]
         guest = table.column("guest").to_numpy(zero_copy_only=False)[order]
         ids = table.column("id").to_numpy()[order]
         whole = pc.list_flatten(table.column("fp").combine_chunks()).to_numpy().view(np.uint64)
-        whole = whole.reshape(len(key), -1)[order]
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        for lo, hi in zip(starts, np.r_[starts[1:], len(key)], strict=True):
-            if hi - lo < 2:
-                continue
-            sub = np.argsort(string[lo:hi], kind="stable") + lo
-            values, first, count = np.unique(string[sub], return_index=True, return_counts=True)
-            pairs = list(trie.self_join(values, bits, budget))
-            # Rows with the very same string are neighbours too.
-            same = np.flatnonzero(count > 1)
-            for i, j in [*pairs, (same, same)]:
-                for a, b in _expanded(i, j, first, count):
-                    a, b = sub[a], sub[b]
-                    ok = ~(guest[a] & guest[b])
-                    if limit is not None:
-                        ok &= np.bitwise_count(whole[a] ^ whole[b]).sum(axis=1) <= limit
-                    a, b = ids[a[ok]], ids[b[ok]]
-                    if len(a):
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
+        whole = whole.reshape(len(key), -1)
+        # A trie for each bucket, over its distinct strings; all buckets are walked together.
+        new_key = np.r_[True, key[1:] != key[:-1]]
+        first = np.flatnonzero(new_key | np.r_[True, string[1:] != string[:-1]])
+        count = np.diff(np.r_[first, len(key)])
+        # Rows with the very same string are neighbours too.
+        same = np.flatnonzero(count > 1)
+        walk = trie.self_join(string[first], bits, budget, begins=np.flatnonzero(new_key[first]))
+        for i, j in chain(walk, [(same, same)]):
+            for a, b in _expanded(i, j, first, count):
+                ok = ~(guest[a] & guest[b])
+                if limit is not None:
+                    ok &= np.bitwise_count(whole[order[a]] ^ whole[order[b]]).sum(axis=1) <= limit
+                a, b = ids[a[ok]], ids[b[ok]]
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
 
     return run
 

@@ -29,16 +29,23 @@ def _split(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64) ->
     return a
 
 
-def self_join(words: np.ndarray, bits: int, budget: int, skip: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Batches of index pairs (i < j) of distinct sorted ``words`` that differ in ``budget`` bits at most.
+def self_join(
+    words: np.ndarray, bits: int, budget: int, skip: int = 0, begins: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of index pairs (i < j) of ``words`` that differ in ``budget`` bits at most.
 
     ``bits``: the width in use, counted from the lowest. ``skip``: pairs must agree in that
-    many leading bits.
+    many leading bits. ``begins``: where tries begin, if ``words`` holds several one after
+    another; they are walked together, each against itself. In a trie words are distinct and sorted.
     """
     n = len(words)
     if n < 2:
         return
-    stack = [(0, *(np.array([x], np.int64) for x in (0, n, 0, n, 0)))]
+    lo = np.array([0]) if begins is None else np.asarray(begins)
+    lo, hi = lo.astype(np.int64), np.r_[lo[1:], n].astype(np.int64)
+    more = hi - lo > 1
+    lo, hi = lo[more], hi[more]
+    stack = [(0, lo, hi, lo, hi, np.zeros(len(lo), np.int64))]
     while stack:
         depth, alo, ahi, blo, bhi, err = stack.pop()
         if len(alo) > FRONTIER:
