@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, width: int, n_words: int = 1, id_col="doc_id",
 
 
 def _bucket_pairs(bits: int, budget: int, limit: int | None):
-    """Joins the strings of a partition: (bucket, cell, guest, s, id, fp) to (a, b)."""
+    """Joins the strings of a partition: (key, guest, s, id, fp) to edges (u, v)."""
 
     def run(batches):
         import pyarrow.compute as pc
@@ -105,6 +105,10 @@ def _bucket_pairs(bits: int, budget: int, limit: int | None):
         ids = table.column("id").to_numpy()[order]
         whole = pc.list_flatten(table.column("fp").combine_chunks()).to_numpy().view(np.uint64)
         whole = whole.reshape(len(key), -1)
+        # Links of a partition are joined as they are found: a group of near copies leaves one edge a
+        # string, to the least id that it reaches here, and not one for each of its pairs.
+        known, node = np.unique(ids, return_inverse=True)
+        root = np.arange(len(known))
         # A trie for each bucket, over its distinct strings; all buckets are walked together.
         new_key = np.r_[True, key[1:] != key[:-1]]
         first = np.flatnonzero(new_key | np.r_[True, string[1:] != string[:-1]])
@@ -117,13 +121,28 @@ def _bucket_pairs(bits: int, budget: int, limit: int | None):
                 ok = ~(guest[a] & guest[b])
                 if limit is not None:
                     ok &= np.bitwise_count(whole[order[a]] ^ whole[order[b]]).sum(axis=1) <= limit
-                a, b = ids[a[ok]], ids[b[ok]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["u", "v"])
+                _join(root, node[a[ok]], node[b[ok]])
+        at = np.flatnonzero(root != np.arange(len(root)))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(known[at]), pa.array(known[root[at]])], names=["u", "v"])
 
     return run
 
 
+def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Union the nodes of each pair; ``root`` leads every node to the least of its set."""
+    while len(a):
+        a, b = root[a], root[b]
+        differ = a != b
+        low, high = np.minimum(a, b)[differ], np.maximum(a, b)[differ]
+        if not len(low):
+            return
+        np.minimum.at(root, high, low)
+        while not np.array_equal(deeper := root[root], root):
+            root[:] = deeper
+        a, b = low, high
+
+
 def _expanded(i, j, first, count, step=1 << 20):
     """Row pairs of pairs of runs; a run with itself gives each pair once."""
     size = count[i] * count[j]
@@ -142,9 +161,10 @@ def _expanded(i, j, first, count, step=1 << 20):
 
 
 def links(reps: DataFrame, bits: int, budget: int, limit: int | None = None) -> DataFrame:
-    """(u, v) of ids whose strings differ in ``budget`` bits at most.
+    """Edges (u, v) that connect just what is connected by strings of ``budget`` differing bits at most.
 
-    ``reps`` has (id, fp) with distinct ``fp``. A fingerprint is read as consecutive strings of
+    ``reps`` has (id, fp) with distinct ``fp``. All links are found; the edges are a star for each set
+    that a partition joins, so their number follows the strings and not the pairs of a group. A fingerprint is read as consecutive strings of
     ``bits`` bits; one within the budget is enough. ``limit``: differing bits allowed in the
     whole fingerprint.
     """
