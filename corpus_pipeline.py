@@ -45,7 +45,7 @@ def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("SimHash near-dedup", near_duplicates),
+    ("near-dedup by five-word similarity", near_duplicates),
     ("benchmark decontamination", decontamination),
     ("mixing sources to target weights", mixing_sources),
     ("token-ID / binary output", token_shards),

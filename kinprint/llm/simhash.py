@@ -9,6 +9,9 @@ of more than ``HOT`` strings is divided by its next bits: a string stays in its
 visits the cells within the budget. Components are found by ``connected_components`` on the
 distributed edge table.
 
+``similar`` and ``keep_one``, of the pipeline, don't use the fingerprints: they link texts by the exact
+Jaccard similarity of their shingle sets.
+
 Defined results: null text counts as empty; a text without words has fingerprint zero and
 links to others like any; repeated rows and repeated ids are rows of their own with one
 component; null ids never name a component, and a component of null ids only has a null id;
@@ -243,18 +246,155 @@ def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, id_col="do
     return components(prints, 64, budget)
 
 
-# Near-duplicates by similarity of five-word shingles: 256 bits read as eight strings of 32.
-# At a Jaccard similarity of 0.8 two fingerprints differ in 15 % of their bits on average;
-# a pair is a candidate if one string differs in 3 bits at most (92 % of pairs at 0.8, 98 %
-# at 0.85, 99.9 % at 0.9) and is linked if the whole differs in 41 bits at most.
-SIMILAR = {"width": 5, "n_words": 4, "bits": 32, "budget": 3, "limit": 41}
+# Near-duplicates by similarity of five-word shingles: candidates by bands of minima, verified exactly.
+# A pair of similarity s agrees in one of 40 bands of 6 minima with 1 - (1 - s^6)^40: all but 5 in a
+# million at 0.8. What is linked is decided by the sets alone: 5 x common shingles >= 4 x all of them.
+WIDTH = 5
+BANDS, DEEP = 40, 6
+SHARE = (4, 5)  # similarity from which two texts are linked, as a fraction
+
+_RANDOM = np.random.default_rng(42)
+_TIMES = _RANDOM.integers(0, 1 << 63, BANDS * DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RANDOM.integers(0, 1 << 63, BANDS * DEEP, dtype=np.uint64)
+
+
+def shingle_set(text: bytes | None) -> np.ndarray:
+    """The distinct shingles' hashes, sorted; a phrase that a text repeats counts once."""
+    return np.unique(shingle_hashes(text, WIDTH))
+
+
+def bands(h: np.ndarray) -> np.ndarray:
+    """A key for each band of a set's minima; an empty set has none."""
+    if not len(h):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * DEEP, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1024):
+        np.minimum(least, (h[None, at : at + 1024] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1), out=least)
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, DEEP).T:
+        key = mixed(key ^ column, 1)
+    return key.view(np.int64)
+
+
+def _node(h: np.ndarray) -> int:
+    """Names a set: texts of equal sets are one node."""
+    return xxhash.xxh3_64_intdigest(h.astype("<u8").tobytes()) - (1 << 63)
+
+
+def _sketches(batches):
+    for batch in batches:
+        sets = [shingle_set(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        keys = pa.array([bands(h) for h in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), pa.array([_node(h) for h in sets], pa.int64()), keys], names=["id", "node", "bands"]
+        )
+
+
+def _sets(batches):
+    for batch in batches:
+        sets = [shingle_set(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([_node(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())],
+            names=["node", "hashes"],
+        )
+
+
+def _columns(batches, *names):
+    held = [b for b in batches if b.num_rows]
+    table = pa.Table.from_batches(held) if held else None
+    return [table.column(n).to_numpy() for n in names] if held else None
+
+
+def _edges(u, v):
+    once = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["u", "v"])
+
+
+def _stars(batches):
+    """(key, node) to pairs of each node and the least one of its bucket."""
+    if (got := _columns(batches, "key", "node")) is None:
+        return
+    order = np.lexsort((got[1], got[0]))
+    key, node = got[0][order], got[1][order]
+    new = np.r_[True, key[1:] != key[:-1]]
+    hub = node[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+    yield _edges(hub[~new], node[~new])
+
+
+def _apart(batches):
+    """(key, node, part) to all pairs of a bucket that lie in different parts."""
+    if (got := _columns(batches, "key", "node", "part")) is None:
+        return
+    order = np.lexsort((got[1], got[2], got[0]))
+    key, node, part = (x[order] for x in got)
+    n = len(key)
+    new_key = np.r_[True, key[1:] != key[:-1]]
+    new_part = new_key | np.r_[True, part[1:] != part[:-1]]
+    ends = lambda new: np.r_[np.flatnonzero(new)[1:], n][np.cumsum(new) - 1]
+    begin, count = ends(new_part), ends(new_key) - ends(new_part)
+    total = np.cumsum(count)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), "right")))
+        c = count[at:to]
+        i = np.repeat(np.arange(at, to), c)
+        j = np.repeat(begin[at:to], c) + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+        if len(i):
+            yield _edges(node[i], node[j])
+        at = to
+
+
+def _verified(batches):
+    """(u, v, a, b) to the pairs whose sets a and b are similar enough."""
+    for batch in batches:
+        ok = []
+        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            ok.append(SHARE[1] * common >= SHARE[0] * (len(a) + len(b) - common))
+        yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
 def similar(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, fp, component): linked at an estimated similarity of 0.8 or more."""
-    p = SIMILAR
-    prints = written(fingerprints(docs, p["width"], p["n_words"], id_col, text_col), "simhash")
-    return components(prints, p["bits"], p["budget"], p["limit"])
+    """(id, component): linked where the Jaccard similarity of five-word shingle sets is 0.8 or more.
+
+    Texts of equal sets are one node. A first round verifies each node of a bucket against its least one,
+    which joins most of a group of copies; a second verifies all pairs of a bucket that are still apart.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(
+        F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")
+    )
+    prints = written(texts.mapInArrow(_sketches, "id long, node long, bands array<long>"), "similar")
+    reps = written(prints.select("node", "bands").dropDuplicates(["node"]), "similar-reps")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(least, reps.count() * BANDS // 400_000)
+
+    def met(rows, how):
+        return rows.repartition(parts, "key").mapInArrow(how, "u long, v long").distinct()
+
+    near = written(met(reps.select("node", F.explode("bands").alias("key")), _stars), "similar-near")
+    nodes = near.select(F.col("u").alias("node")).union(near.select("v")).distinct()
+    sets = texts.select("text").mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"])
+    sets = written(sets.join(nodes, "node", "left_semi"), "similar-sets")
+
+    def verified(pairs):
+        a = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
+        b = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
+        both = pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b")
+        return written(both.mapInArrow(_verified, "u long, v long"), "similar-edges")
+
+    joined = written(connected_components(verified(near), "u", "v"), "similar-joined")
+    part = F.coalesce("component", "node").alias("part")
+    rows = reps.join(nodes, "node", "left_semi").join(joined, "node", "left")
+    rows = rows.select("node", part, F.explode("bands").alias("key"))
+    edges = verified(met(rows, _apart).join(near, ["u", "v"], "left_anti"))
+    edges = edges.unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    joined = connected_components(edges, "u", "v")
+
+    named = prints.groupBy("node").agg(F.min("id").alias("id")).join(joined, "node", "left").select("node", part, "id")
+    named = named.join(named.groupBy("part").agg(F.min("id").alias("component")), "part").select("node", "component")
+    return prints.select("id", "node").join(named, "node").select("id", "component")
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:

@@ -93,3 +93,41 @@ def test_similar_texts_are_linked_and_others_are_not(spark):
     got = {r["id"]: r["component"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[2 * k] == 2 * k for k in range(40))
     assert sum(got[a] == b for a, b in near.items()) >= 39
+
+
+def test_similar_is_exactly_the_components_of_jaccard_0_8(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rng = np.random.default_rng(5)
+    for k in range(300):  # pairs around the limit, on both sides
+        words = [f"v{x}" for x in rng.integers(0, 10**6, 150)]
+        texts[10**6 + 2 * k] = " ".join(words)
+        for at in range(4, 150, 150 // (2 + k % 5)):
+            words[at] = "changed"
+        texts[10**6 + 2 * k + 1] = " ".join(words)
+    owners, sizes = {}, {}
+    root = {d: d for d in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for d, t in sorted(texts.items()):
+        w = (t or "").encode().lower().split()
+        grams = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        sizes[d] = len(grams)
+        common = {}
+        for g in grams:
+            for e in owners.get(g, ()):
+                common[e] = common.get(e, 0) + 1
+            owners.setdefault(g, []).append(d)
+        if not grams:
+            common = {e: 0 for e in texts if e < d and sizes.get(e) == 0}
+        for e, n in common.items():
+            if 5 * n >= 4 * (sizes[d] + sizes[e] - n):
+                x, y = sorted((find(d), find(e)))
+                root[y] = x
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in simhash.similar(df).collect()}
+    assert got == {d: find(d) for d in texts}
