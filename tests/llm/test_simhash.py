@@ -131,3 +131,14 @@ def test_similar_is_exactly_the_components_of_jaccard_0_8(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r["id"]: r["component"] for r in simhash.similar(df).collect()}
     assert got == {d: find(d) for d in texts}
+
+
+def test_a_phrase_repeated_inside_texts_does_not_link_them(spark):
+    rng = np.random.default_rng(6)
+    phrase, rows = " ".join(f"p{k}" for k in range(16)), []
+    for k in range(40):
+        own = [f"d{k}x{x}" for x in rng.integers(0, 10**6, 224)]
+        rows.append((k, " ".join([*own[:112], *([phrase] * 12), *own[112:]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["id"]: r["component"] for r in simhash.similar(df).collect()} == {k: k for k in range(40)}
+    assert simhash.keep_one(df).count() == 40
