@@ -1,26 +1,26 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word pairs as seeds, then Smith-Waterman alignment.
 
 Benchmark items are taken in blocks of at most ``BLOCK_BYTES`` of text (a larger item is a
 block of its own), so what is sent to the executors is bounded, and every document meets
-every block. For a block, one pass counts in how many documents each of its word n-grams
-occurs; a second finds the n-grams in each document, and aligns a document with an item when
-they share enough of them: ``MIN_RARE`` distinct n-grams that are rare in the corpus, or
-``MIN_COMMON`` of any kind, so that an item which leaked so often that none of its n-grams
-is rare is still found. Matching and alignment happen where the document is read; nothing is
-shuffled but counts, and a passage in a third of all documents costs each its own alignment.
+every block. A seed is a pair of words that follow each other in an item; a text has it where
+they follow each other or with one word between. A document is aligned with an item when a
+window of twice the item's length has as many places of its seeds as every copy of
+``MIN_SCORE`` must have (``least_places``), however often the item leaked: no copy that the
+alignment would accept is lost. Matching and alignment happen where the document is read;
+nothing is shuffled, and a passage in a third of all documents costs each its own alignment.
 
 The alignment is over words, with ``MATCH`` for equal words and -1 for a changed, added or
 missing one; its score is divided by the item's best possible one.
 
 Defined results: null and empty texts on either side match nothing; case and punctuation do
-not count; an item of fewer words than ``SEED`` is matched by its whole sequence of words and
-an item shorter than ``MIN_WORDS`` only as a whole; repeated rows and ids on either side are
+not count; an item shorter than ``MIN_WORDS`` is matched only as a whole; repeated rows and ids on either side are
 rows of their own; null ids are carried; empty tables give an empty table; other columns are not
 read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -28,10 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SEED = 3  # words of a seed
-RARE_SHARE = 0.001  # of all documents, up to which a seed is rare
-RARE_LEAST = 20  # documents in which a seed may occur and be rare in any case
-MIN_RARE, MIN_COMMON = 2, 5
 MATCH = 2
 MIN_SCORE = 0.5
 MIN_WORDS = 8
@@ -44,6 +40,18 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
+def least_places(n: int) -> int:
+    """Places of seeds that a text has at least where it copies an item of ``n`` words by ``MIN_SCORE``.
+
+    Of m matched words and e errors, 2m - e >= n. Between two matched words that follow each other in the
+    item with at most one word put between lies a seed; the other m - 1 gaps hold an item's word (n - m at
+    most, an error each) or two errors. That leaves n - m - 1 seeds if m <= 2n/3, and m/2 - 1 beyond.
+    """
+    if n < MIN_WORDS:
+        return max(1, n - 1)
+    return max(1, math.ceil(n / 3) - 1)
+
+
 class Block:
     """Items as word numbers, and their seeds in a sorted array of codes."""
 
@@ -55,48 +63,42 @@ class Block:
             for x in w:
                 self.vocab.setdefault(x, len(self.vocab) + 1)
         self.items = [np.array([self.vocab[x] for x in w], np.int64) for _, w in listed]
-        made = [self.codes(x, min(SEED, len(x))) for x in self.items]
+        self.size = np.array([len(x) for x in self.items], np.int64)
+        self.least = np.array([least_places(len(x)) for x in self.items], np.int64)
+        made = [self.codes(x[:-1], x[1:]) if len(x) > 1 else x for x in self.items]  # a lone word is its own seed
         self.seeds = np.unique(np.concatenate(made)) if made else np.empty(0, np.int64)
-        self.widths = sorted({min(SEED, len(x)) for x in self.items})
         item = np.repeat(np.arange(len(made)), [len(x) for x in made])
         seed = np.searchsorted(self.seeds, np.concatenate(made)) if made else np.empty(0, np.int64)
         pairs = np.unique(np.stack([seed, item], axis=1), axis=0) if made else np.empty((0, 2), np.int64)
         self.owner = pairs[:, 1]
         self.owner_at = np.searchsorted(pairs[:, 0], np.arange(len(self.seeds) + 1))
-        self.n_seeds = np.bincount(self.owner, minlength=len(self.items))
+        self.lone = bool((self.size == 1).any())
 
-    def codes(self, numbers: np.ndarray, width: int) -> np.ndarray:
-        """A code for each run of ``width`` words; runs of other widths never share one."""
-        base = len(self.vocab) + 1
-        code = np.zeros(max(0, len(numbers) - width + 1), np.int64)
-        for k in range(width):
-            code = code * base + numbers[k : k + len(code)]
-        return code
+    def codes(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """A code for each pair of words; none is a lone word's number."""
+        return first * (len(self.vocab) + 1) + second
 
     def numbers(self, words: list[str]) -> np.ndarray:
         get = self.vocab.get
         return np.fromiter((get(w, 0) for w in words), np.int64, len(words))
 
     def found(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(seed, place) of every seed in a text."""
-        seeds, places = [], []
-        for width in self.widths:
-            at = np.flatnonzero(numbers[: max(0, len(numbers) - width + 1)])
-            for k in range(1, width):
-                at = at[numbers[at + k] > 0]
-            if not len(at):
-                continue
-            code = np.zeros(len(at), np.int64)
-            for k in range(width):
-                code = code * (len(self.vocab) + 1) + numbers[at + k]
-            place = np.searchsorted(self.seeds, code)
-            place[place == len(self.seeds)] = 0
-            ok = self.seeds[place] == code
-            seeds.append(place[ok])
-            places.append(at[ok])
-        if not seeds:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate(seeds), np.concatenate(places)
+        """(seed, place) of every seed in a text, once for each place."""
+        known = np.flatnonzero(numbers)
+        codes, places = [], []
+        for step in (1, 2):
+            at = known[known + step < len(numbers)]
+            at = at[numbers[at + step] > 0]
+            codes.append(self.codes(numbers[at], numbers[at + step]))
+            places.append(at)
+        if self.lone:
+            codes.append(numbers[known])
+            places.append(known)
+        code, place = np.concatenate(codes), np.concatenate(places)
+        seed = np.searchsorted(self.seeds, code)
+        seed[seed == len(self.seeds)] = 0
+        ok = self.seeds[seed] == code
+        return seed[ok], place[ok]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
@@ -117,35 +119,39 @@ def align(item: np.ndarray, text: np.ndarray) -> tuple[float, int]:
     return best / (MATCH * len(item)), end
 
 
-def hits(block: Block, rare: np.ndarray, text: str | None):
+def hits(block: Block, text: str | None):
     """(item, score, end, shared seeds) of the items that a text has copied."""
     numbers = block.numbers(words_of(text))
     seed, place = block.found(numbers)
     if not len(seed):
         return
-    distinct, first_of = np.unique(seed, return_inverse=True)
-    count = block.owner_at[distinct + 1] - block.owner_at[distinct]
-    at = np.repeat(block.owner_at[distinct], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    count = block.owner_at[seed + 1] - block.owner_at[seed]
+    at = np.repeat(block.owner_at[seed], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     owner = block.owner[at]
-    weight = np.repeat(rare[distinct], count)
-    shared = np.bincount(owner, minlength=len(block.items))
-    scarce = np.bincount(owner, weights=weight, minlength=len(block.items))
-    enough = (scarce >= np.minimum(MIN_RARE, block.n_seeds)) | (shared >= np.minimum(MIN_COMMON, block.n_seeds))
-    low = np.full(len(distinct), len(numbers))
-    high = np.zeros(len(distinct), np.int64)
-    np.minimum.at(low, first_of, place)
-    np.maximum.at(high, first_of, place)
-    of_seed = np.repeat(np.arange(len(distinct)), count)
-    for k in np.flatnonzero(enough & (shared > 0)).tolist():
-        mine = of_seed[owner == k]
+    of_seed, place = np.repeat(seed, count), np.repeat(place, count)
+    enough = np.bincount(owner, minlength=len(block.items)) >= block.least
+    mine = enough[owner]
+    owner, of_seed, place = owner[mine], of_seed[mine], place[mine]
+    order = np.lexsort((place, owner))
+    owner, of_seed, place = owner[order], of_seed[order], place[order]
+    # A place that has two of an item's seeds counts once.
+    once = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (place[1:] != place[:-1])][: len(owner)])
+    who, where = owner[once], place[once]
+    last = np.arange(len(who)) + block.least[who] - 1
+    full = last < len(who)
+    begins, last = np.flatnonzero(full), last[full]
+    full = (who[last] == who[begins]) & (where[last] - where[begins] <= 2 * block.size[who[begins]])
+    begins, last = begins[full], last[full]
+    for k in np.unique(who[begins]).tolist():
+        some = who[begins] == k
         item = block.items[k]
         # An alignment of positive score reaches no further from a seed than this.
         reach = (MATCH + 1) * len(item)
-        begin = max(0, int(low[mine].min()) - reach)
-        score, end = align(item, numbers[begin : int(high[mine].max()) + SEED + reach])
+        begin = max(0, int(where[begins[some]].min()) - reach)
+        score, end = align(item, numbers[begin : int(where[last[some]].max()) + 3 + reach])
         least = 1.0 if len(item) < MIN_WORDS else MIN_SCORE
         if score >= least:
-            yield k, score, begin + end, int(shared[k])
+            yield k, score, begin + end, len(np.unique(of_seed[owner == k]))
 
 
 def blocks_of(benchmark: DataFrame, id_col="item_id", text_col="text"):
@@ -164,24 +170,6 @@ def blocks_of(benchmark: DataFrame, id_col="item_id", text_col="text"):
         yield Block(held)
 
 
-def _document_counts(texts: DataFrame, shipped) -> np.ndarray:
-    def run(batches):
-        block = shipped.value
-        counts = np.zeros(len(block.seeds), np.int64)
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seed, _ = block.found(block.numbers(words_of(text)))
-                counts[np.unique(seed)] += 1
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["seed", "n"])
-
-    counted = texts.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-    got = counted.toArrow()  # a row a seed of the block at most
-    out = np.zeros(len(shipped.value.seeds), np.int64)
-    out[got.column("seed").to_numpy()] = got.column("n").to_numpy()
-    return out
-
-
 def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text"
 ) -> DataFrame:
@@ -189,25 +177,22 @@ def contaminated(
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = "id long, item_id long, score double, end_word long, n_seeds long"
-    found, total = None, None
+    found = None
     for block in blocks_of(benchmark, item_col, item_text_col):
         if not block.items:
             continue
-        total = docs.count() if total is None else total
-        shipped = spark.sparkContext.broadcast(block)
-        rare = _document_counts(texts, shipped) <= max(RARE_LEAST, RARE_SHARE * total)
-        found_here = texts.mapInArrow(_matcher(shipped, rare), schema)
+        found_here = texts.mapInArrow(_matcher(spark.sparkContext.broadcast(block)), schema)
         found = found_here if found is None else found.unionByName(found_here)
     return spark.createDataFrame([], schema) if found is None else found
 
 
-def _matcher(shipped, rare: np.ndarray):
+def _matcher(shipped):
     def run(batches):
         block = shipped.value
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(doc, block.ids[k], score, end, n) for k, score, end, n in hits(block, rare, text)]
+                rows += [(doc, block.ids[k], score, end, n) for k, score, end, n in hits(block, text)]
             if rows:
                 cols = list(zip(*rows, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]

@@ -72,3 +72,30 @@ def test_edited_copies_edges_and_blocks(spark, monkeypatch):
     assert {r["doc_id"] for r in kept.collect()} == {200, 201, *range(100, 120)}
     assert dc.contaminated(df.filter("false"), bench).count() == 0
     assert dc.contaminated(df, bench.filter("false")).count() == 0
+
+
+def test_every_copy_that_the_alignment_accepts_is_found(spark):
+    rng = np.random.default_rng(3)
+    items, docs, want = [], [], set()
+    for k in range(60):
+        size = (8, 15, 15, 24, 40)[k % 5]
+        items.append((k, " ".join(f"i{k}w{x}" for x in range(size))))
+        for c in range(40):  # more copies than a rare seed would have
+            text = []
+            for w in items[k][1].split():
+                u = rng.random()
+                text += [f"r{rng.integers(10**9)}"] if u < 0.25 else [] if u < 0.3 else [w, "put"] if u < 0.45 else [w]
+            if c < 2:
+                text = [y for w in items[k][1].split() for y in (w, "put")][:-1]
+            if c == 2 and size == 15:
+                text = items[k][1].split()
+                for at in (4, 7, 10, 13):
+                    text[at - 1] = "edited"
+            doc = ["x"] * 30 + text + ["y"] * 30
+            numbers = {w: n for n, w in enumerate(items[k][1].split())}
+            if dc.align(np.arange(size), np.array([numbers.get(w, -1) for w in doc]))[0] >= dc.MIN_SCORE:
+                want.add((100 * k + c, k))
+            docs.append((100 * k + c, " ".join(doc)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = dc.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(want) > 1000 and {(r["id"], r["item_id"]) for r in got} == want
