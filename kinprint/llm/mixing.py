@@ -2,7 +2,8 @@
 
 Every document is repeated a Poisson-distributed number of times whose mean is its source's
 target repetition rate: a hash of seed and id gives a uniform number, and the distribution's
-inverse at that number is the count. Rows are then dealt out by a second hash, so the order
+inverse at that number is the count. A rate above ``MAX_RATE`` is the sum of several such draws
+of equal rates, each with a hash of its own, so every source meets its target. Rows are then dealt out by a second hash, so the order
 is random over all sources and copies, and a rerun or a lost executor gives the same rows.
 Built-in expressions only.
 
@@ -29,12 +30,12 @@ from kinprint.session import fresh
 MAX_BROADCAST = 10_000
 SALT = 64
 SEED = "mix-1"
-#: Terms of a rate's distribution: past the mean by far more deviations than a 52-bit
-#: uniform number can ask for.
+#: Rate of one draw at most; larger rates are drawn in parts.
 MAX_RATE = 64.0
 
 
 def terms(rate: float = MAX_RATE) -> int:
+    """Terms of a draw's distribution: past the mean by far more deviations than a 52-bit uniform number can ask for."""
     return int(rate + 12 * math.sqrt(rate) + 24)
 
 
@@ -65,7 +66,8 @@ def source_rates(
     docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.5, epochs: float = 1.0,
     source_col="source", text_col="text",
 ) -> DataFrame:
-    """(source, size, rate, cdf): rate = epochs * total size * target share / size, at most MAX_RATE.
+    """(source, size, rate, draws, cdf): rate = epochs * total size * target share / size, drawn in parts of
+    MAX_RATE at most; ``cdf`` is that of a part.
 
     Size is the number of code points. Target shares are ``weights``, scaled to one, or where
     none are given in proportion to size ** power.
@@ -82,13 +84,11 @@ def source_rates(
         given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "source string, w double")
         weighted = sizes.join(F.broadcast(given), "source").filter("w > 0")
     total = weighted.agg(F.sum("size").alias("all_size"), F.sum("w").alias("all_w"))
-    rate = F.least(
-        F.lit(MAX_RATE),
-        F.lit(float(epochs)) * F.col("all_size") * (F.col("w") / F.col("all_w")) / F.col("size"),
-    )
+    rate = F.lit(float(epochs)) * F.col("all_size") * (F.col("w") / F.col("all_w")) / F.col("size")
     # One row beside a table of sources; no pairs arise.
     rated = weighted.crossJoin(F.broadcast(total)).select("source", "size", rate.alias("rate"))
-    return rated.withColumn("cdf", cumulative(F.col("rate")))
+    rated = rated.withColumn("draws", F.greatest(F.lit(1), F.ceil(F.col("rate") / MAX_RATE).cast("int")))
+    return rated.withColumn("cdf", cumulative(F.col("rate") / F.col("draws")))
 
 
 def replicate(
@@ -107,7 +107,7 @@ def replicate(
     few = rates.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
     ident = F.col(f"`{id_col}`")
     left = docs.withColumn(f"{m}_source", name)
-    right = rates.select(F.col("source").alias(f"{m}_source"), F.col("rate").alias(f"{m}_rate"), F.col("cdf").alias(f"{m}_cdf"))
+    right = rates.select(*[F.col(c).alias(f"{m}_{c}") for c in ("source", "rate", "draws", "cdf")])
     if few:
         joined = left.join(F.broadcast(right), f"{m}_source")
     else:
@@ -118,7 +118,12 @@ def replicate(
         )
     u = uniform(F.lit(seed), ident)
     joined = joined.withColumn(f"{m}_u", u)
-    count = F.size(F.filter(F.col(f"{m}_cdf"), lambda x: x <= F.col(f"{m}_u")))
+    drawn = lambda u: F.size(F.filter(F.col(f"{m}_cdf"), lambda x: x <= u))
+    others = F.transform(
+        F.sequence(F.lit(2), F.col(f"{m}_draws")), lambda j: uniform(F.lit(seed), F.lit("draw"), j, ident)
+    )
+    first = drawn(F.col(f"{m}_u"))
+    count = F.when(F.col(f"{m}_draws") == 1, first).otherwise(F.aggregate(others, first, lambda n, u: n + drawn(u)))
     joined = joined.withColumn(f"{m}_copies", count).filter(F.col(f"{m}_copies") > 0)
     copies = joined.select(
         *columns, F.col(f"{m}_rate"), F.col(f"{m}_copies"),

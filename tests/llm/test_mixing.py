@@ -42,3 +42,12 @@ def test_edges(spark):
         assert sorted(map(str, salted.collect())) == sorted(map(str, many.collect()))
     finally:
         mixing.MAX_BROADCAST = old
+
+
+def test_a_tiny_source_meets_its_target(spark):
+    df = spark.range(20000).selectExpr("id as doc_id", "'0123456789' as text", "if(id < 20, 'tiny', 'big') as source")
+    out, m = mixing.replicate(df, {"tiny": 0.5, "big": 0.5})
+    got = Counter(r["source"] for r in out.select("source").collect())
+    assert abs(got["tiny"] - 10000) < 500 and abs(got["big"] - 10000) < 500  # five deviations of a Poisson sum
+    counts = {r[0]: r[1] for r in out.filter("source = 'tiny'").select("doc_id", f"{m}.copies").distinct().collect()}
+    assert len(counts) == 20 and len(set(counts.values())) > 10 and all(350 < n < 650 for n in counts.values())
