@@ -145,6 +145,8 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
     rules: list[np.ndarray] = []
     lengths: list[np.ndarray] = []
     size = np.ones(SYMBOLS, np.uint32)
+    ends = np.zeros(SYMBOLS, bool)  # symbols whose last id is the end id; nothing is joined to their right
+    ends[end_id] = True
     free = base
     while free < SYMBOLS and len(seq) > 1:
         key = (seq[:-1] << np.uint32(16)) | seq[1:]
@@ -152,7 +154,7 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
         edge = np.flatnonzero(np.r_[True, order[1:] != order[:-1]])
         count = np.diff(np.r_[edge, len(order)])
         pair = order[edge]
-        frequent = (count >= MIN_PAIRS) & (pair >> np.uint32(16) != end_id)
+        frequent = (count >= MIN_PAIRS) & ~ends[pair >> np.uint32(16)]
         pair, count = pair[frequent], count[frequent]
         if not len(pair):
             break
@@ -182,6 +184,7 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
         seq = seq[stays]
         left, right = pair >> np.uint32(16), pair & np.uint32(0xFFFF)
         size[free : free + len(pair)] = size[left] + size[right]
+        ends[free : free + len(pair)] = ends[right]
         rules.append(np.stack([left, right], axis=1))
         lengths.append(size[free : free + len(pair)].copy())
         free += len(pair)
@@ -227,7 +230,10 @@ def _shard(part: int, seq: int, base: int, ids: list, raw: list[bytes]) -> dict:
     size = np.ones(base + len(rules), np.int64)
     size[base:] = lengths
     starts = np.cumsum(size[sequence]) - size[sequence]
-    at = np.searchsorted(starts, np.cumsum(sizes) - sizes)
+    begins = np.cumsum(sizes) - sizes
+    at = np.searchsorted(starts, begins)
+    if not np.array_equal(starts[at], begins):
+        raise AssertionError("a symbol of the shard reaches over the end of a document")
     return {
         "part": part, "seq": seq, "base": base, "n_ids": int(sizes.sum()), "rules": rules.tobytes(),
         "lengths": lengths.tobytes(), "sequence": sequence.tobytes(), "doc_ids": ids,

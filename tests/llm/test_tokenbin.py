@@ -2,6 +2,8 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from kinprint.llm import registry, tokenbin
@@ -19,6 +21,24 @@ def test_grammar_round_trip(n, spread):
         assert len(rules) > 0 and len(sequence) < n / 2
 
 
+def test_no_symbol_reaches_over_an_end():
+    ids = np.array([5, 6, 2, 7, 8] * 50 + [9, 2, 2, 5, 6] * 40)
+    rules, lengths, sequence = tokenbin.compress(ids, 49408)
+    assert len(rules)
+    table = tokenbin.expansions(rules, lengths, 49408)
+    for symbol in range(49408, 49408 + len(rules)):
+        assert 2 not in tokenbin.expand(np.array([symbol]), table)[:-1]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([5, 6, 7]), max_size=6), min_size=1, max_size=12), st.integers(8, 40))
+def test_documents_of_repeated_starts_and_ends_decode_alone(docs, times):
+    docs = [np.array([*d, 2], "<u2") for d in docs * times]
+    row = tokenbin._shard(0, 0, 49408, list(range(len(docs))), [d.tobytes() for d in docs])
+    for k, d in enumerate(docs):
+        assert tokenbin.decode(row, k).tolist() == d.tolist()
+
+
 def brute(rows):
     tok = Tokenizer.from_file(PATH)
     out, start = [], 0
@@ -29,7 +49,9 @@ def brute(rows):
     return out
 
 
-TEXTS = ["", " \n ", "The the THE. thing, it's 'S can't", "a<|endoftext|>b <|ENDOFTEXT|> c", "É́ É ́x \x1cq \x85r\xa0s  t", "ΑΣ ΣΑΣ. İI ß", "日本語 テスト 12.5 １２", "x" * 3000, "of the " * 4000, "!!! ... a.b, c,, d.", "ﬁ ﬂ ½ K 가.", "🙂🙂 ok.🙂"]
+TEXTS = ["", " \n ", "The the THE. thing, it's 'S can't", "a<|endoftext|>b <|ENDOFTEXT|> c", "É́ É ́x \x1cq \x85r\xa0s  t", "ΑΣ ΣΑΣ. İI ß", "日本語 テスト 12.5 １２", "x" * 3000, "of the " * 4000, "!!! ... a.b, c,, d.", "ﬁ ﬂ ½ K 가.", "🙂🙂 ok.🙂",
+         " lead, trail. ", "<|x a's 'S <a|b|> \tc", "abc$$$ ab.&&& x'' x's. q'.t it's't A1, 1.2$ é%% -a- a--b",
+         "ÀÉÎ treêau Ÿ ÿ ß ẞ Ñandú, crème. œuvre ªº µ × ÷ naïve don't l'été Ærø ŠŽ İstanbul ſ"]
 
 
 def test_words_encode_as_whole_texts():
@@ -55,8 +77,8 @@ def test_repeated_rows(spark):
     assert [tuple(r) for r in got] == brute([(0, "first"), (1, "same words"), (1, "same words")])
 
 
-def test_real_texts(spark):
-    sf = "/root/testdata/sf0.001"
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
+def test_real_texts(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
     got = registry.op7_token_shards(spark, sf).orderBy("doc_id").collect()
     assert [tuple(r) for r in got] == brute([(r["doc_id"], r["text"]) for r in docs])
