@@ -3,7 +3,9 @@
 Documents are dealt by ranges of id and sorted. A task turns its texts into ids and closes a
 shard whenever ``SHARD_IDS`` ids are full, so memory does not depend on a partition's size. In a shard, frequent
 pairs of symbols are replaced by nonterminals, round after round, until no pair is frequent
-or the symbols run out; a pair never spans the end of a document. A shard stores
+or the symbols run out. Nothing is joined to the right of a symbol that ends with the end id,
+so none reaches over the end of a document; this is checked for every shard that is written. Pairs are counted once a round and up to ``PAIRS_A_ROUND`` of
+the most frequent are replaced together. A shard stores
 
 * ``rules``: two little-endian unsigned 16-bit symbols a nonterminal, in order of creation,
 * ``lengths``: the number of ids that each nonterminal expands to (unsigned 32-bit),
@@ -26,12 +28,14 @@ an empty dataset; other columns are not read.
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,94 +44,87 @@ from kinprint.session import written
 END_ID = 2
 SHARD_IDS = 1 << 20
 DOCS_A_PART = 2_000
+MAX_PARTS = 100_000  # beyond it partitions grow; a task's memory does not depend on their size
 MIN_PAIRS = 8  # a pair that occurs less often is not replaced
 PAIRS_A_ROUND = 4_096
 HASH_BITS = 18
 SYMBOLS = 1 << 16
+PIECE_BYTES = 4_000_000  # text that is encoded at once
 CACHE_WORDS = 400_000  # words of one generation; two generations are kept
 
 
+SIGNS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+class _Words(dict):
+    """Ids of words as little-endian unsigned 16-bit bytes; a word that is missing is encoded once."""
+
+    def __init__(self, encode, older: dict[bytes, bytes]):
+        super().__init__({b"": b""})
+        self.encode, self.older = encode, older
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            # Letters and the signs behind them are two pieces.
+            stem = word if word.isalpha() else word.rstrip(SIGNS)
+            if len(stem) < len(word) and stem.decode().isalpha():
+                found = self[stem] + self[word[len(stem) :]]
+            else:
+                found = self.encode(word)
+        self[word] = found
+        return found
+
+
 class WordEncoder:
     """Ids of texts as little-endian unsigned 16-bit bytes, by way of a cache of words."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
+        self.model = self.tok.model
         self.vocab = self.tok.get_vocab_size(with_added_tokens=True)
         if self.vocab > SYMBOLS - 256:
             raise ValueError("ids must leave room for nonterminals in 16 bits")
-        self.mark = next(t for t in self.tok.get_added_tokens_decoder().values() if t.content == "<|endoftext|>").content
-        self.mark_id = self.tok.token_to_id(self.mark)
-        pieces = self.tok.get_vocab(with_added_tokens=False)
-        self.last = np.zeros(self.vocab, bool)  # ids that end a piece
-        self.last[[i for x, i in pieces.items() if x.endswith("</w>")]] = True
         self.raw = [i.to_bytes(2, "little") for i in range(self.vocab)]
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u2")
-
-    def _encode(self, words: list[bytes]) -> None:
-        """Many words in one call, with a special token between them."""
-        for k in range(0, len(words), 256):
-            part = words[k : k + 256]
-            ids = self._ids(self.mark.join(w.decode() for w in part))
-            ends = np.flatnonzero(ids == self.mark_id) * 2
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(part, [*ends.tolist(), len(raw)], strict=True):
-                self.young[w] = raw[at:end]
-                at = end + 2
-
-    def _encode_letters(self, words: list[bytes]) -> None:
-        """Words of letters only: each is one piece, so its last id tells where it ends."""
-        for k in range(0, len(words), 1024):
-            part = words[k : k + 1024]
-            ids = self._ids(" ".join(w.decode() for w in part))
-            ends = np.flatnonzero(self.last[ids]) + 1
-            if len(ends) != len(part):
-                self._encode(part)
-                continue
-            raw, at = ids.tobytes(), 0
-            for w, end in zip(part, (2 * ends).tolist(), strict=True):
-                self.young[w] = raw[at:end]
-                at = end
-
-    def _learn(self, words: set[bytes]) -> None:
-        whole, tailed = [], []
-        for w in words:
-            if w in self.old:
-                self.young[w] = self.old[w]
-            elif b"<|" in w:
-                self.young[w] = self._ids(w.decode()).tobytes()
-            elif w[-1:] in (b".", b",") and w[:-1].decode().isalpha():
-                tailed.append(w)  # letters and one sign are two pieces
-            else:
-                whole.append(w)
-        stems = {w[:-1] for w in tailed} | {w[-1:] for w in tailed}
-        known = [w for w in stems if w not in self.young and w in self.old]
-        self.young |= {w: self.old[w] for w in known}
-        whole = set(whole).union(stems).difference(self.young)
-        plain = [w for w in whole if w.isascii() and w.isalpha()]
-        # Plain letters are left as they are by all that comes before the merges but for case.
-        pieces, young = self.tok.model.tokenize, self.young
-        for w in plain:
-            young[w] = b"".join([self.raw[x.id] for x in pieces(w.lower().decode())])
-        whole.difference_update(plain)
-        letters = [w for w in whole if w.decode().isalpha()]
-        self._encode_letters(letters)
-        self._encode(list(whole.difference(letters)))
-        for w in tailed:
-            self.young[w] = self.young[w[:-1]] + self.young[w[-1:]]
-
-    def batch(self, texts: list[bytes | None]) -> list[bytes]:
-        split = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
-        if len(self.young) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-        self._learn(set().union(*split).difference(self.young))
-        get = self.young.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        # Latin letters with accents have no other normal form; what the model reads in their place.
+        letters = [chr(c) for c in range(0xC0, 0x100) if chr(c).isalpha()]
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.bytewise = {ord(x): level.pre_tokenize_str(x.lower())[0][0] for x in letters}
+        self.accented = re.compile(f"[a-zA-Z{''.join(letters)}]+")
+        self.words = _Words(self.encode, {})
+
+    def encode(self, word: bytes) -> bytes:
+        """The ids of one word. A word of Latin letters is one piece and goes to the model at once."""
+        if word.isalpha():  # of bytes: A-Z and a-z only
+            return self._piece(word.lower().decode())
+        text = word.decode()
+        if self.accented.fullmatch(text):
+            return self._piece(text.lower().translate(self.bytewise))
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _piece(self, text: str) -> bytes:
+        return b"".join([self.raw[x.id] for x in self.model.tokenize(text)])
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text. Words that a batch repeats are looked up once."""
+        if len(self.words) > CACHE_WORDS:
+            self.words = _Words(self.encode, dict(self.words))
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        known = list(map(self.words.__getitem__, distinct))
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 2
+        place = words.indices.to_numpy()
+        n = size[place]
+        ends = np.cumsum(n)
+        first = (np.cumsum(size) - size)[place]
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - n), n)
+        flat = np.frombuffer(b"".join(known), "<u2")[at].tobytes()
+        edges = np.r_[0, ends][np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy())]] * 2
+        return [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
 
 def worker_encoder(path: str) -> WordEncoder:
@@ -218,6 +215,17 @@ def expand(symbols: np.ndarray, table: tuple[np.ndarray, np.ndarray, np.ndarray]
     return flat[out + np.repeat(first[symbols] - (ends - n), n)]
 
 
+def _pieces(batch: pa.RecordBatch):
+    """Runs of rows (id, text) of ``PIECE_BYTES`` at most; a longer text is a run of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = size[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(size, before + PIECE_BYTES, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 SHARD = (
     "part int, seq int, base int, n_ids long, rules binary, lengths binary, sequence binary, "
     "doc_ids array<long>, doc_at array<int>, doc_tokens array<int>"
@@ -265,9 +273,8 @@ def shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col="d
             return pa.RecordBatch.from_pylist([row], schema=_ARROW)
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                piece = batch.slice(k, 256)
-                made = encoder.batch(piece.column(1).cast(pa.binary()).to_pylist())
+            for piece in _pieces(batch):
+                made = encoder.batch(piece.column(1))
                 for doc, x in zip(piece.column(0).to_pylist(), made, strict=True):
                     ids.append(doc)
                     raw.append(x + tail)
@@ -281,7 +288,7 @@ def shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col="d
     text = F.col(f"`{text_col}`").cast("string")
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text.alias("text"))
     spark = docs.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // DOCS_A_PART)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MAX_PARTS, docs.count() // DOCS_A_PART))
     keyed = rows.withColumn("tie", F.xxhash64("text"))
     dealt = keyed.repartitionByRange(parts, "id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
     return dealt.mapInArrow(run, SHARD)
@@ -291,7 +298,7 @@ def read_documents(stored: DataFrame) -> DataFrame:
     """(id, start, n_tokens, ids_crc32) of every document, decoded from the shards.
 
     ``start`` counts the ids of all documents before. Sums run over shards: first over the
-    parts, which are few, then within each part.
+    parts, ``MAX_PARTS`` at most, then within each part.
     """
     parts = stored.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -57,7 +58,7 @@ TEXTS = ["", " \n ", "The the THE. thing, it's 'S can't", "a<|endoftext|>b <|END
 def test_words_encode_as_whole_texts():
     encoder, tok = tokenbin.WordEncoder(PATH), Tokenizer.from_file(PATH)
     for _ in range(2):
-        for t, raw in zip(TEXTS, encoder.batch([t.encode() for t in TEXTS])):
+        for t, raw in zip(TEXTS, encoder.batch(pa.array(TEXTS))):
             assert np.frombuffer(raw, "<u2").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
