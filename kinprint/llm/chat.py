@@ -1,24 +1,32 @@
 """Chat formatting with offset-aligned loss masks.
 
-A conversation is rendered whole, encoded once with offsets, and its sorted turn spans are
+A conversation is rendered whole, encoded with offsets, and its sorted turn spans are
 intersected with the sorted token spans by binary search. The template's marks are special
-tokens of the encoder, so a text starts and ends at a token's edge. A mark inside a text is
-escaped: ``<`` followed by any number of backslashes and ``|`` gets one backslash more, and
-reading takes one away, so every text comes back as it was.
-
-A conversation is read by one task, since its hash and its tokens are sequential; it is the
-only thing held whole.
+tokens of the encoder, so a text starts and ends at a token's edge and turns can be encoded in
+pieces without changing an id. A mark inside a text is escaped: ``<`` followed by any number of
+backslashes and ``|`` gets one backslash more, and reading takes one away, so every text comes
+back as it was.
+
+Turns are dealt by conversation and ``TURNS`` turn numbers, so one conversation with a third of all
+turns is spread over tasks. A task writes a row for each piece: consecutive turns of one
+conversation, closed when ``PIECE_CHARS`` are full, which most conversations never are. Pieces in
+order of (chunk, piece) are the conversation. The digests read every piece where it lies; only
+what the sequential hashes need meets in one task a conversation, and streams through it. A
+piece (at least one turn) is all that is ever held.
 
 Defined results: null text and null role count as empty; turns are ordered by turn, then
 role, then text (nulls first), so ties and repeated rows have one result; a null conv_id is a
-conversation of its own; a conversation without assistant rows has an empty mask; an empty
-table gives an empty table; other columns are not read.
+conversation of its own; a conversation without assistant rows has an empty mask; very long texts
+are a piece of their own, split nowhere; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+import sys
+import types
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +36,9 @@ from pyspark.sql import functions as F
 # The template's marks.
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 LEARNED_ROLE = "assistant"
+TURNS = 512  # turn numbers of a conversation that are dealt together
+PIECE_CHARS = 200_000  # characters from which a piece is closed
+BATCH_CHARS = 200_000  # characters that are encoded in one call
 
 _MARK = re.compile(r"<(\\*)\|")
 _ESCAPED = re.compile(r"<\\(\\*)\|")
@@ -42,7 +53,7 @@ def unescape(text: str) -> str:
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int, str]]]:
-    """The conversation as one string, and each text's span in it with its role."""
+    """Turns as one string, and each text's span in it with its role."""
     parts, spans, at = [], [], 0
     for role, text in turns:
         head, body = f"{START}{escape(role)}{SEP}", escape(text)
@@ -54,7 +65,7 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int, str]
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
-    """The turns of a rendered conversation."""
+    """The turns of a rendered string."""
     turns = []
     for part in formatted.split(f"{END}\n")[:-1]:
         role, text = part.removeprefix(START).split(SEP, 1)
@@ -92,78 +103,154 @@ def masked_runs(offsets: np.ndarray, mask: np.ndarray) -> list[tuple[int, int]]:
     return [(int(offsets[a, 0]), int(offsets[b - 1, 1])) for a, b in zip(edge[::2], edge[1::2], strict=True)]
 
 
-SCHEMA = "conv_id long, formatted string, ids array<int>, starts array<int>, ends array<int>, loss array<boolean>"
+SCHEMA = (
+    "conv_id long, chunk long, piece int, formatted string, ids array<int>, starts array<int>, ends array<int>, "
+    "loss array<boolean>"
+)
 
 
-def _grouped(rows: DataFrame, conv="conv_id", turn="turn", role="role", text="text") -> DataFrame:
+def _turns(rows: DataFrame, conv="conv_id", turn="turn", role="role", text="text") -> DataFrame:
     empty = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    number = F.col(f"`{turn}`").cast("long")
     turns = rows.select(
-        F.col(f"`{conv}`").cast("long").alias("conv_id"),
-        F.struct(F.col(f"`{turn}`").cast("long").alias("turn"), empty(role).alias("role"), empty(text).alias("text")).alias("t"),
-    )
-    return turns.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+        F.col(f"`{conv}`").cast("long").alias("conv_id"), F.floor(number / TURNS).alias("chunk"), number.alias("turn"),
+        empty(role).alias("role"), empty(text).alias("text"),
+    )
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return turns.repartition(parts, "conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", "turn", "role", "text")
+
+
+def _pieces(batches):
+    """Consecutive turns of one chunk: (conv_id, chunk, piece, [(role, text)], characters)."""
+    at, piece, turns, size = None, 0, [], 0
+    for batch in batches:
+        for k in range(0, batch.num_rows, 512):
+            part = batch.slice(k, 512)
+            columns = (part.column(n).to_pylist() for n in ("conv_id", "chunk", "role", "text"))
+            for conv, chunk, role, text in zip(*columns, strict=True):
+                if turns and ((conv, chunk) != at or size >= PIECE_CHARS):
+                    yield *at, piece, turns, size
+                    piece, turns, size = piece + 1 if (conv, chunk) == at else 0, [], 0
+                at = conv, chunk
+                turns.append((role, text))
+                size += len(text)
+    if turns:
+        yield *at, piece, turns, size
+
+
+def worker_encoder(path: str):
+    """The encoder of this worker process; workers are reused, and loading it takes a second."""
+    kept = sys.modules.setdefault("_kinprint_kept", types.ModuleType("_kinprint_kept"))
+    found = getattr(kept, "chat", None)
+    if found is None or found[0] != path:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        kept.chat = found = (path, encoder(path))
+    return found[1]
+
+
+def _encoded(tok, pieces: list[tuple]) -> pa.RecordBatch:
+    """(conv_id, chunk, piece, turns) to rows of ``SCHEMA``."""
+    made = [render(turns) for *_, turns in pieces]
+    ids, starts, ends, loss = [], [], [], []
+    for (formatted, spans), e in zip(made, tok.encode_batch([f for f, _ in made], add_special_tokens=False), strict=True):
+        offsets = np.array(e.offsets, np.int32).reshape(-1, 2)
+        ids.append(np.array(e.ids, np.int32))
+        starts.append(offsets[:, 0])
+        ends.append(offsets[:, 1])
+        loss.append(loss_mask(offsets, spans))
+    ints = pa.list_(pa.int32())
+    conv, chunk, piece, _ = zip(*pieces, strict=True)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(conv, pa.int64()), pa.array(chunk, pa.int64()), pa.array(piece, pa.int32()),
+            pa.array([f for f, _ in made]), pa.array(ids, ints), pa.array(starts, ints), pa.array(ends, ints),
+            pa.array(loss, pa.list_(pa.bool_())),
+        ],
+        names=["conv_id", "chunk", "piece", "formatted", "ids", "starts", "ends", "loss"],
+    )
 
 
 def format_chats(rows: DataFrame, tokenizer_path: str, **columns: str) -> DataFrame:
-    """(conv_id, formatted, ids, starts, ends, loss): one row a conversation, arrays by token."""
+    """(conv_id, chunk, piece, formatted, ids, starts, ends, loss): arrays by token, offsets within the piece."""
 
     def run(batches):
-        tok = encoder(tokenizer_path)
-        for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
-                made = [
-                    render([(t["role"], t["text"]) for t in turns]) for turns in part.column(1).to_pylist()
-                ]
-                encoded = tok.encode_batch([f for f, _ in made], add_special_tokens=False)
-                ids, starts, ends, loss = [], [], [], []
-                for (_, spans), e in zip(made, encoded, strict=True):
-                    offsets = np.array(e.offsets, np.int64).reshape(-1, 2)
-                    ids.append(np.array(e.ids, np.int32))
-                    starts.append(offsets[:, 0].astype(np.int32))
-                    ends.append(offsets[:, 1].astype(np.int32))
-                    loss.append(loss_mask(offsets, spans))
-                ints = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0), pa.array([f for f, _ in made]), pa.array(ids, ints),
-                        pa.array(starts, ints), pa.array(ends, ints), pa.array(loss, pa.list_(pa.bool_())),
-                    ],
-                    names=["conv_id", "formatted", "ids", "starts", "ends", "loss"],
-                )
-
-    return _grouped(rows, **columns).mapInArrow(run, SCHEMA)
+        tok, held, size = worker_encoder(tokenizer_path), [], 0
+        for *row, n in _pieces(batches):
+            held.append(row)
+            size += n
+            if size >= BATCH_CHARS:
+                yield _encoded(tok, held)
+                held, size = [], 0
+        if held:
+            yield _encoded(tok, held)
 
+    return _turns(rows, **columns).mapInArrow(run, SCHEMA)
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """What the formatted rows say, read back from them alone."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            cols = [batch.column(k) for k in range(6)]
-            for k in range(batch.num_rows):
-                conv, text = cols[0][k].as_py(), cols[1][k].as_py()
-                offsets = np.stack([cols[3][k].values.to_numpy(), cols[4][k].values.to_numpy()], axis=1)
-                mask = cols[5][k].values.to_numpy(zero_copy_only=False).astype(bool)
-                turns = parse(text)
-                whole = "".join(f"{r}\n{t}\n" for r, t in turns)
-                learned = "".join(unescape(text[a:b]) for a, b in masked_runs(offsets, mask))
-                out.append((conv, len(turns), _sha(whole), len(learned), _sha(learned), len(text), int(mask.sum()), len(mask)))
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(DIGEST, row, strict=True)) for row in out],
-                schema=pa.schema([(n, pa.string() if n.endswith("sha256") else pa.int64()) for n in DIGEST]),
-            )
 
-    kinds = ", ".join(f"{n} {'string' if n.endswith('sha256') else 'long'}" for n in DIGEST)
-    return formatted.mapInArrow(run, kinds)
+SAID = "conv_id long, chunk long, piece int, turns binary, learned binary, counts array<long>"
+DIGEST = "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars n_loss_tokens n_tokens".split()
+_DIGEST = pa.schema([(n, pa.string() if n.endswith("sha256") else pa.int64()) for n in DIGEST])
+
+
+def _said(batches):
+    """What each piece says: its turns, the text under its mask, and (turns, mask, characters, loss tokens, tokens)."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            text = row.column("formatted")[0].as_py()
+            offsets = np.stack([row.column(n)[0].values.to_numpy() for n in ("starts", "ends")], axis=1)
+            mask = row.column("loss")[0].values.to_numpy(zero_copy_only=False).astype(bool)
+            turns = parse(text)
+            learned = "".join(unescape(text[a:b]) for a, b in masked_runs(offsets, mask))
+            counts = [len(turns), len(learned), len(text), int(mask.sum()), len(mask)]
+            whole = "".join(f"{role}\n{said}\n" for role, said in turns)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(row.column(n) for n in ("conv_id", "chunk", "piece")), pa.array([_bytes(whole)]),
+                    pa.array([_bytes(learned)]), pa.array([counts], pa.list_(pa.int64())),
+                ],
+                names=["conv_id", "chunk", "piece", "turns", "learned", "counts"],
+            )
+
+
+def _digested(batches):
+    """Pieces in order to a row a conversation."""
+    now, turns, learned, counts, done = None, None, None, None, []
+
+    def row():
+        return now[0], int(counts[0]), turns.hexdigest(), int(counts[1]), learned.hexdigest(), *counts[2:].tolist()
+
+    def rows():
+        return pa.RecordBatch.from_pylist([dict(zip(DIGEST, x, strict=True)) for x in done], schema=_DIGEST)
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            conv, *_, text, under, n = (column[k].as_py() for column in batch.columns)
+            if now is None or conv != now[0]:
+                if now is not None:
+                    done.append(row())
+                now, turns, learned, counts = (conv,), hashlib.sha256(), hashlib.sha256(), np.zeros(5, np.int64)
+            turns.update(text)
+            learned.update(under)
+            counts += n
+        if done:
+            yield rows()
+            done = []
+    if now is not None:
+        done.append(row())
+        yield rows()
 
 
-DIGEST = "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars n_loss_tokens n_tokens".split()
+def digests(formatted: DataFrame) -> DataFrame:
+    """A row for each conversation with what its formatted pieces say, read back from them alone."""
+    kinds = ", ".join(f"{n} {'string' if n.endswith('sha256') else 'long'}" for n in DIGEST)
+    parts = int(formatted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    said = formatted.mapInArrow(_said, SAID).repartition(parts, "conv_id")
+    return said.sortWithinPartitions("conv_id", "chunk", "piece").mapInArrow(_digested, kinds)
 
 
-def _sha(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+def _bytes(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
 
 
 #: The planted conversation of the query: both texts consist of the template's marks.
