@@ -16,14 +16,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one in ``spark.checkpoint.dir``. Only where that is unset, as in
-    tests on one machine, a temporary folder is set in its place.
+    It is the one in ``spark.checkpoint.dir``. Only where that is unset and all runs on one
+    machine, as in tests, a temporary folder is set in its place.
     """
     context = spark.sparkContext
     known = context.getCheckpointDir()
     if known:
         return known
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and context.master != "local" and not context.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinprint-checkpoints-"))
     return context.getCheckpointDir()
 
@@ -48,10 +50,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def fresh(df: DataFrame, base: str) -> str:
-    """A column name that ``df`` does not have, in any letter case."""
-    taken = {c.lower() for c in df.columns}
+    """A name that no column of ``df`` has or begins with, in any letter case; names made from it are free too."""
+    taken = [c.lower() for c in df.columns]
     name, k = f"__{base}", 0
-    while name.lower() in taken:
+    while any(c.startswith(name.lower()) for c in taken):
         k += 1
-        name = f"__{base}{k}"
+        name = f"__{base}{k}x"
     return name
