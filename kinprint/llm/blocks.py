@@ -7,7 +7,10 @@ same order, without the keys.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 
@@ -47,3 +50,12 @@ def dealt(buckets: np.ndarray):
     edge = np.flatnonzero(np.r_[True, held[1:] != held[:-1]])
     for a, b in zip(edge, [*edge[1:], len(held)], strict=True):
         yield int(held[a]), order[a:b]
+
+
+def release() -> None:
+    """Give memory that a finished task has freed back to the system; workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: nothing to trim
