@@ -34,6 +34,10 @@ SEED = "mix-1"
 MAX_RATE = 64.0
 
 
+#: Beyond this a cumulative probability is past every uniform number, which has 52 bits.
+FULL = 1 - 2.0**-53
+
+
 def terms(rate: float = MAX_RATE) -> int:
     """Terms of a draw's distribution: past the mean by far more deviations than a 52-bit uniform number can ask for."""
     return int(rate + 12 * math.sqrt(rate) + 24)
@@ -47,18 +51,14 @@ def uniform(*parts: Column) -> Column:
 
 def cumulative(rate: Column) -> Column:
     """P(X <= k) for k = 0, 1, ... while it is below 1, of a Poisson variable X with mean ``rate``."""
-    start = F.struct(
-        F.exp(-rate).alias("p"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("all")
-    )
+    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("sum"), F.array(F.exp(-rate)).alias("all"))
+
+    def longer(a, k):
+        p = a["p"] * rate / k
+        return F.struct(p.alias("p"), (a["sum"] + p).alias("sum"), F.concat(a["all"], F.array(a["sum"] + p)).alias("all"))
+
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(terms())),
-        start,
-        lambda a, k: F.struct(
-            (a["p"] * rate / k).alias("p"),
-            (a["sum"] + a["p"] * rate / k).alias("sum"),
-            F.concat(a["all"], F.array(a["sum"] + a["p"] * rate / k)).alias("all"),
-        ),
-        lambda a: a["all"],
+        F.sequence(F.lit(1), F.lit(terms())), start, lambda a, k: F.when(a["sum"] < FULL, longer(a, k)).otherwise(a), lambda a: a["all"]
     )
 
 
@@ -97,8 +97,8 @@ def replicate(
 ) -> tuple[DataFrame, str]:
     """``docs`` repeated, with one struct column (rate, copies, copy, order_key); returns its name too.
 
-    ``order_key`` is the place in the global shuffle: partitions are ranges of it and are
-    sorted by it.
+    ``order_key`` is the place in the global shuffle: rows are dealt to partitions by its hash and sorted
+    by it there, so each partition is a random sample in random order, and nothing is computed twice to find ranges.
     """
     rates = source_rates(docs, weights, power, epochs, source_col, text_col)
     m = fresh(docs, "mix")
@@ -138,7 +138,8 @@ def replicate(
         ).alias(m),
     )
     if shuffle:
-        out = out.repartitionByRange(F.col(m)["order_key"]).sortWithinPartitions(F.col(m)["order_key"])
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        out = out.repartition(parts, F.col(m)["order_key"]).sortWithinPartitions(F.col(m)["order_key"])
     return out, m
 
 
@@ -147,13 +148,16 @@ def oracle_sql(source: str = "documents") -> str:
 WITH s AS (SELECT coalesce(source, '') AS source, CAST(coalesce(sum(length(text)), 0) AS BIGINT) AS size
   FROM {source} GROUP BY 1 HAVING coalesce(sum(length(text)), 0) > 0),
 t AS (SELECT sum(size) AS all_size, sum(pow(CAST(size AS DOUBLE), 0.5)) AS all_w FROM s),
-r AS (SELECT source, least({MAX_RATE}, all_size * (pow(CAST(size AS DOUBLE), 0.5) / all_w) / size) AS rate FROM s, t),
-f AS (SELECT d.doc_id, coalesce(d.source, '') AS source, rate,
-  CAST(('0x' || substr(md5('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u
-  FROM {source} d JOIN r ON r.source = coalesce(d.source, '')),
-p AS (SELECT source, rate, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cum
-  FROM r, (SELECT unnest(range(0, {terms() + 1})) AS k)),
-n AS (SELECT f.doc_id, f.source, f.rate, f.u, (SELECT count(*) FROM p WHERE p.source = f.source AND p.cum <= f.u) AS copies FROM f),
+r AS (SELECT source, all_size * (pow(CAST(size AS DOUBLE), 0.5) / all_w) / size AS rate FROM s, t),
+e AS (SELECT source, rate, CAST(greatest(1, ceil(rate / {MAX_RATE})) AS BIGINT) AS draws FROM r),
+d AS (SELECT doc_id, coalesce(source, '') AS source, row_number() OVER () AS row_id FROM {source}),
+f AS (SELECT row_id, doc_id, d.source, rate, unnest(range(1, draws + 1)) AS j FROM d JOIN e ON e.source = d.source),
+g AS (SELECT *, CAST(('0x' || substr(md5('{SEED}:' || CASE WHEN j = 1 THEN '' ELSE 'draw:' || j || ':' END
+  || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0 AS u FROM f),
+q AS (SELECT source, rate / draws AS part, k FROM e, (SELECT unnest(range(0, {terms() + 1})) AS k)),
+p AS (SELECT source, sum(exp(k * ln(part) - part - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cum FROM q),
+n AS (SELECT row_id, doc_id, source, rate, CAST(sum((SELECT count(*) FROM p WHERE p.source = g.source AND p.cum <= g.u)) AS BIGINT) AS copies
+  FROM g GROUP BY 1, 2, 3, 4),
 c AS (SELECT *, unnest(range(1, copies + 1)) AS copy FROM n WHERE copies > 0)
 SELECT doc_id, source, round(rate, 9) AS rate, copies, copy,
   md5('{SEED}:order:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(copy AS VARCHAR)) AS order_key FROM c

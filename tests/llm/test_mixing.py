@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import duckdb
+from pyspark.sql import functions as F
 
 from kinprint.llm import mixing, registry
 
@@ -51,3 +52,24 @@ def test_a_tiny_source_meets_its_target(spark):
     assert abs(got["tiny"] - 10000) < 500 and abs(got["big"] - 10000) < 500  # five deviations of a Poisson sum
     counts = {r[0]: r[1] for r in out.filter("source = 'tiny'").select("doc_id", f"{m}.copies").distinct().collect()}
     assert len(counts) == 20 and len(set(counts.values())) > 10 and all(350 < n < 650 for n in counts.values())
+
+
+def test_sql_draws_large_rates_in_parts_too(spark):
+    rows = [(k, "0123456789", "tiny" if k < 3 else "big") for k in range(30000)] + [(1, "repeated id", "tiny"), (None, "x", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out, m = mixing.replicate(df, shuffle=False)
+    got = out.groupBy("doc_id", F.coalesce("source", F.lit("")).alias("source")).count().collect()
+    con = duckdb.connect()
+    con.register("documents", df.toArrow())
+    want = con.execute(f"SELECT doc_id, source, count(*) FROM ({mixing.oracle_sql()}) GROUP BY 1, 2").fetchall()
+    assert max(r[2] for r in want) > mixing.MAX_RATE
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_clashing_columns_come_back_as_they_were(spark):
+    names = ["__mix", "__mix_source", "__mix_u", "__MIX_cdf", "rate", "copies"]
+    df = spark.createDataFrame([(k, "text", "en", *names) for k in range(50)], ["doc_id", "text", "source", *names])
+    out, m = mixing.replicate(df, epochs=3.0)
+    assert out.columns == [*df.columns, m] and m not in df.columns
+    assert {tuple(r)[3:-1] for r in out.collect()} == {tuple(names)}
