@@ -204,7 +204,27 @@ def _matcher(shipped):
     return run
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """The rows of ``docs`` whose id has no copied item, with the same columns."""
-    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col("id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+def without_contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_col="item_id", item_text_col="text"
+) -> DataFrame:
+    """The rows of ``docs`` whose own text copies no item, with the same columns.
+
+    Rows are judged where they are read, one by one: null and repeated ids don't matter, rows with null or empty
+    texts stay, an empty table on either side changes nothing, and other columns may have any name and type.
+    """
+    context = docs.sparkSession.sparkContext
+    place = [c.lower() for c in docs.columns].index(text_col.lower())
+    for block in blocks_of(benchmark, item_col, item_text_col):
+        if block.items:
+            docs = docs.mapInArrow(_filter(context.broadcast(block), place), docs.schema)
+    return docs
+
+
+def _filter(shipped, place: int):
+    def run(batches):
+        block = shipped.value
+        for batch in batches:
+            clean = [next(hits(block, text), None) is None for text in batch.column(place).cast(pa.string()).to_pylist()]
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return run

@@ -99,3 +99,15 @@ def test_every_copy_that_the_alignment_accepts_is_found(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = dc.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect()
     assert len(want) > 1000 and {(r["id"], r["item_id"]) for r in got} == want
+
+
+def test_rows_are_judged_and_not_ids(spark):
+    item = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, item), (1, item), (None, "clean text"), (1, "another clean text"), (2, "clean"), (3, None)]
+    schema = "__bad long, text string, id map<string,int>, score double, item_id array<string>"
+    df = spark.createDataFrame([(i, t, {"a": 1}, 0.5, ["x"]) for i, t in rows], schema)
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    kept = dc.without_contaminated(df, bench, id_col="__bad")
+    assert kept.schema == df.schema
+    assert {(r[0], r[1]) for r in kept.collect()} == {(None, "clean text"), (1, "another clean text"), (2, "clean"), (3, None)}
+    assert dc.without_contaminated(df, bench.filter("false")).count() == 6 and dc.without_contaminated(df.filter("false"), bench).count() == 0
