@@ -1,21 +1,21 @@
 """SimHash near-duplicates: fingerprints joined to each other by a binary trie walk.
 
-Fingerprints are collapsed first (one row for each distinct one, with its smallest id), so a
-group of exact copies costs one row however large it is. Distinct fingerprints go, once for
-each block of bits, to the bucket of that block's value; in a bucket the walk of
-``kinprint.llm.trie`` finds every pair within the budget. A string has a bounded number of
-neighbours within the budget, so pairs stay in proportion to distinct fingerprints. A bucket
-of more than ``HOT`` strings is divided by its next bits: a string stays in its own cell and
-visits the cells within the budget. Components are found by ``connected_components`` on the
-distributed edge table.
-
-``similar`` and ``keep_one``, of the pipeline, don't use the fingerprints: they link texts by the exact
-Jaccard similarity of their shingle sets.
+Fingerprints are collapsed first (one row for each distinct one), so a group of exact copies
+costs one row however large it is. Distinct fingerprints go, once for each block of bits, to the
+bucket of that block's value; in a bucket the walk of ``kinprint.llm.trie`` finds every pair
+within the budget. A string has a bounded number of neighbours within the budget, so pairs stay
+in proportion to distinct fingerprints. A bucket of more than ``HOT`` strings is divided by its
+next bits: a string stays in its own cell and visits the cells within the budget. Components are
+found by ``connected_components`` on the distributed edge table, whose nodes are fingerprints.
+
+``similar`` and ``keep_one``, of the pipeline, link texts by the Jaccard similarity of their sets of
+five-word shingles. SimHash gives the candidates: ``WORDS`` fingerprints of a set are read as strings
+of ``STRING`` bits, one of which must be within ``STRING_BUDGET``; the sets themselves decide.
 
 Defined results: null text counts as empty; a text without words has fingerprint zero and
-links to others like any; repeated rows and repeated ids are rows of their own with one
-component; null ids never name a component, and a component of null ids only has a null id;
-an empty table gives an empty table; other columns are not read.
+links to others like any; repeated rows and repeated ids are rows of their own, each with the
+component of its own fingerprint; null ids link like others but never name a component, so a component
+of null ids only has a null id; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,13 +24,16 @@ from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinprint.llm import trie
+from kinprint.llm.blocks import pack, unpack
 from kinprint.operators.components import connected_components
-from kinprint.session import written
+from kinprint.session import fresh, written
 
 HOT = 50_000  # strings of a bucket beyond which it is divided
 CELL_BITS = 10  # bits by which it is divided
@@ -90,12 +93,24 @@ def fingerprints(docs: DataFrame, width: int, n_words: int = 1, id_col="doc_id",
     ).mapInArrow(run, "id long, fp array<long>")
 
 
-def _bucket_pairs(bits: int, budget: int, limit: int | None):
-    """Joins the strings of a partition: (key, guest, s, id, fp) to edges (u, v)."""
+def _walker(bits: int, budget: int, limit: int | None, how: str):
+    """Joins the strings of a partition (key, guest, s, id, check) to edges (u, v).
 
-    def run(batches):
-        import pyarrow.compute as pc
+    A pair counts where its strings differ in ``budget`` bits and its checks in ``limit`` bits at most. All
+    pairs are found. ``how`` tells which are edges:
+
+    * ``star``: as many as link what the pairs link, from the least id of each set that they join;
+    * ``closest``: for each string u the v of the least difference between the checks, and that (u, v, differ);
+    * ``apart``: all whose ``part`` differs.
+
+    In the first two, edges follow the number of strings and not that of a group's pairs.
+    """
 
+    def edges(u, v):
+        once = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["u", "v"])
+
+    def run(batches):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
@@ -105,29 +120,51 @@ def _bucket_pairs(bits: int, budget: int, limit: int | None):
         order = np.lexsort((string, key))
         key, string = key[order], string[order]
         guest = table.column("guest").to_numpy(zero_copy_only=False)[order]
+        check = pc.list_flatten(table.column("check").combine_chunks()).to_numpy().view(np.uint64).reshape(len(key), -1)[order]
         ids = table.column("id").to_numpy()[order]
-        whole = pc.list_flatten(table.column("fp").combine_chunks()).to_numpy().view(np.uint64)
-        whole = whole.reshape(len(key), -1)
-        # Links of a partition are joined as they are found: a group of near copies leaves one edge a
-        # string, to the least id that it reaches here, and not one for each of its pairs.
         known, node = np.unique(ids, return_inverse=True)
         root = np.arange(len(known))
+        partner, least = np.full(len(key), -1), np.full(len(key), 64 * check.shape[1] + 1)
         # A trie for each bucket, over its distinct strings; all buckets are walked together.
         new_key = np.r_[True, key[1:] != key[:-1]]
         first = np.flatnonzero(new_key | np.r_[True, string[1:] != string[:-1]])
         count = np.diff(np.r_[first, len(key)])
+        if how == "apart":
+            part = table.column("part").to_numpy()[order]
+            low, high = np.minimum.reduceat(part, first), np.maximum.reduceat(part, first)
         # Rows with the very same string are neighbours too.
         same = np.flatnonzero(count > 1)
         walk = trie.self_join(string[first], bits, budget, begins=np.flatnonzero(new_key[first]))
         for i, j in chain(walk, [(same, same)]):
+            if how == "apart":
+                some = (low[i] != high[j]) | (low[j] != high[i])
+                i, j = i[some], j[some]
             for a, b in _expanded(i, j, first, count):
                 ok = ~(guest[a] & guest[b])
+                if how == "apart":
+                    ok &= part[a] != part[b]
+                a, b = a[ok], b[ok]
                 if limit is not None:
-                    ok &= np.bitwise_count(whole[order[a]] ^ whole[order[b]]).sum(axis=1) <= limit
-                _join(root, node[a[ok]], node[b[ok]])
+                    differ = np.bitwise_count(check[a] ^ check[b]).sum(axis=1, dtype=np.int64)
+                    ok = differ <= limit
+                    a, b, differ = a[ok], b[ok], differ[ok]
+                if how == "star":
+                    _join(root, node[a], node[b])
+                elif how == "apart" and len(a):
+                    yield edges(ids[a], ids[b])
+                elif len(a):
+                    one, other, differ = np.r_[a, b], np.r_[b, a], np.r_[differ, differ]
+                    best = np.lexsort((differ, one))
+                    best = best[np.r_[True, one[best][1:] != one[best][:-1]]]
+                    best = best[differ[best] < least[one[best]]]
+                    least[one[best]], partner[one[best]] = differ[best], other[best]
         at = np.flatnonzero(root != np.arange(len(root)))
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(known[at]), pa.array(known[root[at]])], names=["u", "v"])
+            yield edges(known[root[at]], known[at])
+        at = np.flatnonzero(partner >= 0)
+        if len(at):
+            columns = [pa.array(ids[at]), pa.array(ids[partner[at]]), pa.array(least[at])]
+            yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "differ"])
 
     return run
 
@@ -163,25 +200,15 @@ def _expanded(i, j, first, count, step=1 << 20):
         at = to
 
 
-def links(reps: DataFrame, bits: int, budget: int, limit: int | None = None) -> DataFrame:
-    """Edges (u, v) that connect just what is connected by strings of ``budget`` differing bits at most.
+def links(strings: DataFrame, bits: int, budget: int, limit: int | None = None, how: str = "star") -> DataFrame:
+    """Edges (u, v) of ``strings`` (lane, s, id, check; for ``apart`` also part), as ``_walker`` tells.
 
-    ``reps`` has (id, fp) with distinct ``fp``. All links are found; the edges are a star for each set
-    that a partition joins, so their number follows the strings and not the pairs of a group. A fingerprint is read as consecutive strings of
-    ``bits`` bits; one within the budget is enough. ``limit``: differing bits allowed in the
-    whole fingerprint.
+    Strings of ``bits`` bits are compared within their lane. For ``star`` and ``closest``, (lane, s) must be distinct.
     """
-    spark = reps.sparkSession
+    spark = strings.sparkSession
     blocks = trie.cuts(bits, budget)
     mask = (1 << bits) - 1
-
-    per_word = 64 // bits
-    lane = F.explode(F.sequence(F.lit(0), F.size("fp") * per_word - 1)).alias("lane")
-    rows = reps.select("id", "fp", lane)
-    s = F.expr(f"shiftrightunsigned(element_at(fp, cast(lane div {per_word} as int) + 1), cast((lane % {per_word}) * {bits} as int))")
-    s = s.bitwiseAND(F.lit(mask)) if bits < 64 else s
-    rows = rows.select("id", "fp", "lane", s.alias("s"))
-
+    carried = ["id", "check", *(["part"] if how == "apart" else [])]
     # The block is turned to the front, so that buckets and cells are leading bits.
     turned = []
     for k, (at, width) in enumerate(blocks):
@@ -192,12 +219,11 @@ def links(reps: DataFrame, bits: int, budget: int, limit: int | None = None) ->
             t = t.bitwiseAND(F.lit(mask)) if bits < 64 else t
         front = F.shiftrightunsigned(t, bits - width)
         turned.append(F.struct(F.lit(k).alias("block"), front.alias("front"), t.alias("t"), F.lit(width).alias("width")))
-    rows = rows.select("id", "fp", "lane", F.explode(F.array(*turned)).alias("x")).select("id", "fp", "lane", "x.*")
-    bucket = F.xxhash64("lane", "block", "front")
-    rows = rows.withColumn("key", bucket)
+    rows = strings.select("lane", *carried, F.explode(F.array(*turned)).alias("x")).select("lane", *carried, "x.*")
+    rows = rows.select(F.xxhash64("lane", "block", "front").alias("key"), "t", "width", *carried)
 
-    total = reps.count()
-    sizes = rows.groupBy("key").count().filter(F.col("count") > HOT).select("key", F.lit(True).alias("hot"))
+    total = strings.count()
+    sizes = rows.groupBy("key").count().filter(F.col("count") > HOT).select("key")
     if total > HOT and sizes.limit(1).count():
         masks = [0] + [
             sum(1 << b for b in chosen)
@@ -205,57 +231,46 @@ def links(reps: DataFrame, bits: int, budget: int, limit: int | None = None) ->
             for chosen in combinations(range(CELL_BITS), r)
         ]
         own = F.expr(f"shiftrightunsigned(t, cast({bits - CELL_BITS} - width as int)) & {(1 << CELL_BITS) - 1}")
-        cold = rows.join(sizes, "key", "left_anti").select("key", F.lit(False).alias("guest"), "t", "id", "fp")
+        cold = rows.join(sizes, "key", "left_anti").select("key", F.lit(False).alias("guest"), "t", *carried)
         hot = (
             rows.join(sizes, "key", "left_semi")
             .withColumn("own", own)
             .withColumn("flip", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])))
             .withColumn("cell", F.col("own").bitwiseXOR(F.col("flip")))
             .filter("cell >= own")
-            .select(F.xxhash64("key", "cell").alias("key"), (F.col("flip") != 0).alias("guest"), "t", "id", "fp")
+            .select(F.xxhash64("key", "cell").alias("key"), (F.col("flip") != 0).alias("guest"), "t", *carried)
         )
         rows = cold.unionByName(hot)
     else:
-        rows = rows.select("key", F.lit(False).alias("guest"), "t", "id", "fp")
-
-    lanes = max(1, reps.select(F.max(F.size("fp"))).first()[0] or 1) * per_word
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, total * lanes * len(blocks) // 200_000)
-    return (
-        rows.withColumnRenamed("t", "s")
-        .repartition(parts, "key")
-        .mapInArrow(_bucket_pairs(bits, budget, limit), "u long, v long")
-        .distinct()
-    )
-
-
-def components(prints: DataFrame, bits: int = 64, budget: int = 2, limit: int | None = None) -> DataFrame:
-    """(id, fp, component) for each row of ``prints`` (id, fp)."""
-    reps = written(prints.filter("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "simhash-reps")
-    # Two fingerprints may share a smallest id where ids repeat; they are one node then.
-    parts = connected_components(links(reps, bits, budget, limit), "u", "v")
-    named = reps.join(parts, reps["id"] == parts["node"], "left").select(
-        "fp", F.coalesce("component", "id").alias("component")
-    )
-    return prints.join(named, "fp", "left").select("id", "fp", "component")
+        rows = rows.select("key", F.lit(False).alias("guest"), "t", *carried)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * len(blocks) // 200_000)
+    rows = rows.withColumnRenamed("t", "s").repartition(parts, "key")
+    schema = "u long, v long, differ long" if how == "closest" else "u long, v long"
+    return rows.mapInArrow(_walker(bits, budget, limit, how), schema).distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, budget: int = 2, id_col="doc_id", text_col="text") -> DataFrame:
     """(id, fp, component): one 64-bit fingerprint a row, linked within ``budget`` bits."""
-    prints = written(fingerprints(docs, width, 1, id_col, text_col), "simhash")
-    return components(prints, 64, budget)
+    prints = written(fingerprints(docs, width, 1, id_col, text_col), "simhash").select("id", "fp", F.col("fp")[0].alias("node"))
+    reps = written(prints.groupBy("node").agg(F.min("id").alias("id")), "simhash-reps")
+    strings = reps.select(F.lit(0).alias("lane"), F.col("node").alias("s"), F.col("node").alias("id"), F.array(F.lit(0).cast("long")).alias("check"))
+    joined = written(connected_components(links(strings, 64, budget), "u", "v"), "simhash-joined")
+    named = reps.join(joined, "node", "left").select("node", F.coalesce("component", "node").alias("part"), "id")
+    named = named.join(named.groupBy("part").agg(F.min("id").alias("component")), "part").select("node", "component")
+    return prints.join(named, "node").select("id", "fp", "component")
 
 
-# Near-duplicates by similarity of five-word shingles: candidates by bands of minima, verified exactly.
-# A pair of similarity s agrees in one of 40 bands of 6 minima with 1 - (1 - s^6)^40: all but 5 in a
-# million at 0.8. What is linked is decided by the sets alone: 5 x common shingles >= 4 x all of them.
+# --- near-duplicates by similarity --------------------------------------------------------
+# Of a pair of similarity 0.8 a SimHash bit differs with arccos(2 * 0.8 / 1.8) / pi = 0.152. One of 24
+# strings of 32 bits is within 3 bits for 99.93 % of such pairs (99.999 % at 0.85); all 768 bits are within CHECK
+# for 99.1 % (117 expected, deviation 10; 99.9 % at 0.82), which pairs of 0.6 pass in 0.1 %. What is linked is decided by the sets
+# alone: 5 x common >= 4 x all shingles.
 WIDTH = 5
-BANDS, DEEP = 40, 6
+WORDS, STRING, STRING_BUDGET, CHECK = 12, 32, 3, 140
+CHECK_ONE = 22  # of 64 bits, for the pairs that are tried first
+TRIED = 6  # pairs of a node that are tried first
 SHARE = (4, 5)  # similarity from which two texts are linked, as a fraction
-
-_RANDOM = np.random.default_rng(42)
-_TIMES = _RANDOM.integers(0, 1 << 63, BANDS * DEEP, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PLUS = _RANDOM.integers(0, 1 << 63, BANDS * DEEP, dtype=np.uint64)
+MAX_BROADCAST = 1_000_000  # candidates' keys that are broadcast to the scan; more are joined
 
 
 def shingle_set(text: bytes | None) -> np.ndarray:
@@ -263,19 +278,6 @@ def shingle_set(text: bytes | None) -> np.ndarray:
     return np.unique(shingle_hashes(text, WIDTH))
 
 
-def bands(h: np.ndarray) -> np.ndarray:
-    """A key for each band of a set's minima; an empty set has none."""
-    if not len(h):
-        return np.empty(0, np.int64)
-    least = np.full(BANDS * DEEP, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 1024):
-        np.minimum(least, (h[None, at : at + 1024] * _TIMES[:, None] + _PLUS[:, None]).min(axis=1), out=least)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, DEEP).T:
-        key = mixed(key ^ column, 1)
-    return key.view(np.int64)
-
-
 def _node(h: np.ndarray) -> int:
     """Names a set: texts of equal sets are one node."""
     return xxhash.xxh3_64_intdigest(h.astype("<u8").tobytes()) - (1 << 63)
@@ -283,131 +285,148 @@ def _node(h: np.ndarray) -> int:
 
 def _sketches(batches):
     for batch in batches:
-        sets = [shingle_set(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-        keys = pa.array([bands(h) for h in sets], pa.list_(pa.int64()))
+        node, prints = [], []
+        for text in batch.column(2).cast(pa.binary()).to_pylist():
+            h = shingle_set(text)
+            node.append(_node(h))
+            prints.append([simhash(mixed(h, k)) for k in range(WORDS)] if len(h) else None)
+        flat = np.array([x for p in prints if p for x in p], np.uint64).view(np.int64)
+        sizes = np.array([WORDS if p else 0 for p in prints])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(flat))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([_node(h) for h in sets], pa.int64()), keys], names=["id", "node", "bands"]
+            [batch.column(0), batch.column(1), pa.array(node, pa.int64()), lists], names=["id", "h", "node", "fp"]
         )
 
 
 def _sets(batches):
+    """(node, text) to each node's set, once a task however many copies of its text there are."""
+    done = set()
     for batch in batches:
-        sets = [shingle_set(t) for t in batch.column(0).cast(pa.binary()).to_pylist()]
+        nodes, sizes, hashes = [], [], []
+        for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if node not in done:
+                done.add(node)
+                h = np.unique(shingle_set(text.cast(pa.binary()).as_py()) >> np.uint64(24))
+                nodes.append(node)
+                sizes.append(len(h))
+                hashes.append(pack(h))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([_node(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())],
-            names=["node", "hashes"],
+            [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary())], names=["node", "n", "hashes"]
         )
 
 
-def _columns(batches, *names):
-    held = [b for b in batches if b.num_rows]
-    table = pa.Table.from_batches(held) if held else None
-    return [table.column(n).to_numpy() for n in names] if held else None
-
-
-def _edges(u, v):
-    once = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], axis=1), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(once[:, 0]), pa.array(once[:, 1])], names=["u", "v"])
-
-
-def _stars(batches):
-    """(key, node) to pairs of each node and the least one of its bucket."""
-    if (got := _columns(batches, "key", "node")) is None:
-        return
-    order = np.lexsort((got[1], got[0]))
-    key, node = got[0][order], got[1][order]
-    new = np.r_[True, key[1:] != key[:-1]]
-    hub = node[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-    yield _edges(hub[~new], node[~new])
-
-
-def _apart(batches):
-    """(key, node, part) to all pairs of a bucket that lie in different parts."""
-    if (got := _columns(batches, "key", "node", "part")) is None:
-        return
-    order = np.lexsort((got[1], got[2], got[0]))
-    key, node, part = (x[order] for x in got)
-    n = len(key)
-    new_key = np.r_[True, key[1:] != key[:-1]]
-    new_part = new_key | np.r_[True, part[1:] != part[:-1]]
-    ends = lambda new: np.r_[np.flatnonzero(new)[1:], n][np.cumsum(new) - 1]
-    begin, count = ends(new_part), ends(new_key) - ends(new_part)
-    total = np.cumsum(count)
-    at = 0
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + (1 << 20), "right")))
-        c = count[at:to]
-        i = np.repeat(np.arange(at, to), c)
-        j = np.repeat(begin[at:to], c) + np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
-        if len(i):
-            yield _edges(node[i], node[j])
-        at = to
-
-
 def _verified(batches):
     """(u, v, a, b) to the pairs whose sets a and b are similar enough."""
     for batch in batches:
         ok = []
         for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            a, b = unpack(a), unpack(b)
             common = len(np.intersect1d(a, b, assume_unique=True))
             ok.append(SHARE[1] * common >= SHARE[0] * (len(a) + len(b) - common))
         yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
 
-def similar(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """(id, component): linked where the Jaccard similarity of five-word shingle sets is 0.8 or more.
+def _text_key(text) -> list:
+    """128 bits that stand for a text, where rows are met again."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(text), F.xxhash64(F.lit("text"), text)]
+
+
+def groups(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """(id, h, part), a row for each of ``docs``: rows of one ``part`` are linked; ``h`` is the text's first key.
 
-    Texts of equal sets are one node. A first round verifies each node of a bucket against its least one,
-    which joins most of a group of copies; a second verifies all pairs of a bucket that are still apart.
+    Linked where the Jaccard similarity of five-word shingle sets, as 40-bit hashes, is 0.8 or more. Texts of
+    equal sets are one node. First the closest few candidates of each node are verified. That joins most of a group of copies, with edges in
+    proportion to nodes. Then every candidate pair that is still apart is verified.
     """
     spark = docs.sparkSession
-    texts = docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")
-    )
-    prints = written(texts.mapInArrow(_sketches, "id long, node long, bands array<long>"), "similar")
-    reps = written(prints.select("node", "bands").dropDuplicates(["node"]), "similar-reps")
-    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(least, reps.count() * BANDS // 400_000)
-
-    def met(rows, how):
-        return rows.repartition(parts, "key").mapInArrow(how, "u long, v long").distinct()
-
-    near = written(met(reps.select("node", F.explode("bands").alias("key")), _stars), "similar-near")
-    nodes = near.select(F.col("u").alias("node")).union(near.select("v")).distinct()
-    sets = texts.select("text").mapInArrow(_sets, "node long, hashes binary").dropDuplicates(["node"])
-    sets = written(sets.join(nodes, "node", "left_semi"), "similar-sets")
-
-    def verified(pairs):
-        a = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a"))
-        b = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
-        both = pairs.join(a, "u").join(b, "v").select("u", "v", "a", "b")
-        return written(both.mapInArrow(_verified, "u long, v long"), "similar-edges")
-
-    joined = written(connected_components(verified(near), "u", "v"), "similar-joined")
+    text = F.col(f"`{text_col}`").cast("string")
+    h = _text_key(text)[0].alias("h")
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), h, text.alias("text"))
+    prints = written(rows.mapInArrow(_sketches, "id long, h long, node long, fp array<long>"), "similar")
+    reps = prints.filter("size(fp) > 0").groupBy("node").agg(F.min("h").alias("h"), F.first("fp").alias("fp"))
+    reps = written(reps, "similar-reps")
+
+    per_word = 64 // STRING
+
+    def strings(nodes: DataFrame, check, *more):
+        rows = nodes.select("node", "fp", *more, F.explode(F.sequence(F.lit(0), F.lit(WORDS * per_word - 1))).alias("lane"))
+        s = F.expr(f"shiftrightunsigned(fp[cast(lane div {per_word} as int)], cast((lane % {per_word}) * {STRING} as int)) & {(1 << STRING) - 1}")
+        return rows.select("lane", s.alias("s"), F.col("node").alias("id"), check.alias("check"), *more)
+
+    beside = F.expr(f"array(fp[cast((lane div {per_word} + 1) % {WORDS} as int)])")
+    single = strings(reps, beside)
+    hub = F.min(F.struct(F.xxhash64("lane", "id").alias("order"), "id", "check")).alias("hub")
+    hubs = single.groupBy("lane", "s").agg(hub, F.count(F.lit(1)).alias("n"))
+    hubs = written(hubs.select("lane", "s", "hub.id", "hub.check", "n"), "similar-hubs")
+    shared = hubs.filter("n > 1").select("lane", "s", F.col("id").alias("hub"), F.col("check").alias("other"))
+    differ = F.bit_count(F.col("check")[0].bitwiseXOR(F.col("other")[0])).cast("long").alias("differ")
+    copies = single.join(shared, ["lane", "s"]).filter("hub <> id").select(F.col("id").alias("u"), F.col("hub").alias("v"), differ)
+    near = links(hubs.drop("n"), STRING, STRING_BUDGET, CHECK_ONE, "closest")
+    near = written(near.unionByName(copies.filter(F.col("differ") <= CHECK_ONE)), "similar-near")
+    # A node has a pair for each lane and block at most; the closest few are tried now, and all others later.
+    few = near.groupBy("u").agg(F.slice(F.sort_array(F.collect_set(F.struct("differ", "v"))), 1, TRIED).alias("few"))
+    tried = few.select("u", F.explode(F.col("few")["v"]).alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    tried = written(tried.distinct(), "similar-tried")
+
+    first = _similar(spark, rows, reps, tried)
+    joined = written(connected_components(first, "u", "v"), "similar-joined")
     part = F.coalesce("component", "node").alias("part")
-    rows = reps.join(nodes, "node", "left_semi").join(joined, "node", "left")
-    rows = rows.select("node", part, F.explode("bands").alias("key"))
-    edges = verified(met(rows, _apart).join(near, ["u", "v"], "left_anti"))
-    edges = edges.unionByName(joined.select(F.col("node").alias("u"), F.col("component").alias("v")))
+    # A node of a candidate pair has been tried with its closest one, so no other node has any.
+    met = near.select(F.col("u").alias("node")).union(near.select("v")).distinct()
+    placed = reps.join(met, "node", "left_semi").join(joined, "node", "left").select("node", "fp", part)
+    rest = links(strings(placed, F.col("fp"), "part"), STRING, STRING_BUDGET, CHECK, "apart")
+    second = _similar(spark, rows, reps, written(rest.join(tried, ["u", "v"], "left_anti"), "similar-rest"))
+    edges = second.unionByName(joined.select(F.col("component").alias("u"), F.col("node").alias("v")))
     joined = connected_components(edges, "u", "v")
+    return prints.select("id", "h", "node").join(joined, "node", "left").select("id", "h", part)
 
-    named = prints.groupBy("node").agg(F.min("id").alias("id")).join(joined, "node", "left").select("node", part, "id")
-    named = named.join(named.groupBy("part").agg(F.min("id").alias("component")), "part").select("node", "component")
-    return prints.select("id", "node").join(named, "node").select("id", "component")
+
+def _similar(spark, rows: DataFrame, reps: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of nodes whose sets are similar enough."""
+    nodes = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    wanted = written(reps.select("node", "h").join(nodes, "node", "left_semi"), "similar-wanted")
+    few = wanted.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST
+    texts = rows.select("h", "text").join(F.broadcast(wanted) if few else wanted, "h").select("node", "text")
+    sets = texts.mapInArrow(_sets, "node long, n long, hashes binary").dropDuplicates(["node"])
+    sets = written(sets, "similar-sets")
+    sides = [
+        sets.select(F.col("node").alias(node), F.col("n").alias(f"n_{node}"), F.col("hashes").alias(f"of_{node}")) for node in ("u", "v")
+    ]
+    able = F.least("n_u", "n_v") * SHARE[1] >= F.greatest("n_u", "n_v") * SHARE[0]
+    both = pairs.join(sides[0], "u").join(sides[1], "v").filter(able).select("u", "v", "of_u", "of_v")
+    return written(both.mapInArrow(_verified, "u long, v long"), "similar-edges")
+
+
+def similar(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+    """(id, component): the least id of each row's group; null where a group has null ids only."""
+    found = written(groups(docs, id_col, text_col), "similar-groups")
+    return found.join(found.groupBy("part").agg(F.min("id").alias("component")), "part").select("id", "component")
 
 
 def keep_one(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
-    """One row of each group of similar texts: that of the smallest id, with the columns of ``docs``.
+    """One row of each group of similar texts, with the columns of ``docs``.
 
-    Rows that share the kept id count as one document; the least of them by its columns' values stays.
-    Rows without an id can't be told apart and stay.
+    It is the row of the smallest id (null ids come last), and of rows with that id the one whose text has the
+    least hash; of rows that agree in both, the least by a hash of all columns. Every other row is judged on its
+    own text, so rows that share an id with a kept or a removed one neither stay nor go for that. Null and empty
+    texts are one group; an empty table gives an empty table; other columns may have any name and type.
     """
-    ident = F.col(f"`{id_col}`")
-    kept = similar(docs, id_col, text_col).filter("id = component").select(F.col("id").alias("__kept"))
-    kept = written(kept.groupBy("__kept").count(), "simhash-kept")
-    left = docs.filter(ident.isNotNull()).join(kept.select("__kept"), ident.cast("long") == F.col("__kept"), "left_semi")
-    if kept.filter("count > 1").limit(1).count():
-        columns = [F.col(f"`{c}`") for c in docs.columns]
-        left = left.groupBy(ident.alias("__id")).agg(F.min(F.struct(*columns)).alias("__row")).select("__row.*")
-    return left.unionByName(docs.filter(ident.isNull()))
+    found = written(groups(docs, id_col, text_col), "similar-groups")
+    best = found.groupBy("part").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("best"))
+    best = best.select(F.col("best")["id"].alias("id"), F.col("best")["h"].alias("h")).distinct()
+    repeated = found.groupBy("id", "h").count().filter("count > 1")
+    a, b, n = (fresh(docs, x) for x in ("kept_id", "kept_text", "kept_count"))
+    met = F.col("id").eqNullSafe(F.col("r_id")) & (F.col("h") == F.col("r_h"))
+    best = best.join(repeated.select(F.col("id").alias("r_id"), F.col("h").alias("r_h"), "count"), met, "left")
+    kept = written(best.select(F.col("id").alias(a), F.col("h").alias(b), F.coalesce("count", F.lit(1)).alias(n)), "simhash-kept")
+    ident, h = F.col(f"`{id_col}`").cast("long"), _text_key(F.col(f"`{text_col}`"))[0]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    tagged = docs.join(kept, ident.eqNullSafe(F.col(a)) & (h == F.col(b)))
+    left = tagged.filter(F.col(n) == 1).select(*columns)
+    if kept.filter(F.col(n) > 1).limit(1).count():
+        plain = lambda t: isinstance(t, T.AtomicType) and not isinstance(t, T.VariantType)
+        order = F.xxhash64(*[c if plain(f.dataType) else F.to_json(F.struct(c)) for c, f in zip(columns, docs.schema, strict=True)])
+        least = tagged.filter(F.col(n) > 1).groupBy(a, b).agg(F.min_by(F.struct(*columns), order).alias(n))
+        left = left.unionByName(least.select(*[F.col(n)[c].alias(c) for c in docs.columns]))
+    return left

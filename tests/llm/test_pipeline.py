@@ -83,10 +83,23 @@ def test_keep_one_edges(spark):
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, component int")
     got = simhash.keep_one(df)
     assert got.columns == df.columns
-    assert sorted((r["doc_id"] or -1, r["text"] or "") for r in got.collect()) == sorted([(3, long), (-1, long), (-1, ""), (8, "")])
+    got = [(r["doc_id"], r["text"]) for r in got.collect()]
+    assert sorted(i for i, _ in got) == [3, 8] and dict(got)[3] in (long, long + " more") and dict(got)[8] == ""
     assert simhash.keep_one(df.filter("false")).count() == 0
 
 
+def test_keep_one_judges_rows_and_not_ids(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(200)) for x in "abc")
+    rows = [(3, a), (5, a), (5, b), (6, b), (None, a), (None, c), (None, c), (7, c + " x"), (9, "own text")]
+    schema = "doc_id long, text string, kept_id map<string,int>, __kept_id int, h string, node int, part int"
+    df = spark.createDataFrame([(i, t, {"k": 1}, 0, "h", 1, 2) for i, t in rows], schema)
+    got = simhash.keep_one(df)
+    assert got.schema == df.schema
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(3, a), (5, b), (7, c + " x"), (9, "own text")]
+    alone = simhash.keep_one(df.filter("doc_id is null and text like 'c0%'")).collect()
+    assert [(r["doc_id"], r["text"], r["kept_id"]) for r in alone] == [(None, c, {"k": 1})]
+
+
 def test_run_is_the_stages_one_after_another(spark):
     docs = table(spark, SF, "documents")
     for _, stage in corpus_pipeline.STAGES:

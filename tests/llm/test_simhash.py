@@ -95,6 +95,53 @@ def test_similar_texts_are_linked_and_others_are_not(spark):
     assert sum(got[a] == b for a, b in near.items()) >= 39
 
 
+def test_recall_at_the_limit(spark):
+    """300 pairs at a similarity of just over 0.8: nine of ten are linked at least, and measured far more."""
+    rng, rows, exact = np.random.default_rng(9), [], []
+    for k in range(300):
+        words = [f"v{x}" for x in rng.integers(0, 10**6, 130 + k)]
+        other = list(words)
+        shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        a, order = shingles(words), rng.permutation(len(words)).tolist()
+        while True:
+            at, before = order.pop(), list(other)
+            other[at] = "changed" + str(at)
+            b = shingles(other)
+            if 5 * len(a & b) < 4 * len(a | b):
+                break
+        exact.append(len(a & shingles(before)) / len(a | shingles(before)))
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(before))]
+    assert np.mean(exact) < 0.82
+    got = {r["id"]: r["component"] for r in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.mean([got[2 * k + 1] == 2 * k for k in range(300)]) >= 0.97
+    assert all(got[2 * k] == 2 * k for k in range(300))
+
+
+def test_one_large_group_of_near_copies(spark):
+    """All texts differ, in two words each, from one base: no copy is lost, and edges don't follow the pairs."""
+    rng = np.random.default_rng(11)
+    base, rows = [f"b{k}" for k in range(400)], []
+    for k in range(1500):
+        text = list(base)
+        for at in rng.integers(0, 400, 2):
+            text[at] = f"e{k}"
+        rows.append((k, " ".join(text)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = simhash.similar(df).collect()
+    assert len(got) == 1500 and sum(r["component"] == 0 for r in got) >= 1495
+    assert simhash.keep_one(df).count() <= 6
+
+
+def test_null_ids_bridge_fingerprints(spark, monkeypatch):
+    prints = [(7, 0), (None, 0b11), (9, 0b1111), (5, 0b1111), (5, 1 << 40), (3, 1 << 40), (None, 1 << 20 | 0b11111)]
+    made = spark.createDataFrame([(i, [f]) for i, f in prints], "id long, fp array<long>")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: made)
+    got = [(r["id"], r["fp"][0], r["component"]) for r in simhash.near_duplicates(made).collect()]
+    want = brute_components([i for i, _ in prints], [f for _, f in prints])
+    key = lambda x: tuple(-1 if v is None else v for v in x)
+    assert sorted(got, key=key) == sorted(((i, f, c) for (i, f), c in zip(prints, want)), key=key)
+
+
 def test_similar_is_exactly_the_components_of_jaccard_0_8(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
