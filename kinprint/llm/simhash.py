@@ -131,6 +131,7 @@ def _walker(bits: int, budget: int, limit: int | None, how: str):
         count = np.diff(np.r_[first, len(key)])
         if how == "apart":
             part = table.column("part").to_numpy()[order]
+            place = table.column("place").to_numpy()[order]
             low, high = np.minimum.reduceat(part, first), np.maximum.reduceat(part, first)
         # Rows with the very same string are neighbours too.
         same = np.flatnonzero(count > 1)
@@ -148,6 +149,10 @@ def _walker(bits: int, budget: int, limit: int | None, how: str):
                     differ = np.bitwise_count(check[a] ^ check[b]).sum(axis=1, dtype=np.int64)
                     ok = differ <= limit
                     a, b, differ = a[ok], b[ok], differ[ok]
+                if how == "apart" and len(a):
+                    # A pair meets in many lanes and blocks; the first of them tells it.
+                    ok = _first_place(check[a] ^ check[b], bits, budget) == place[a]
+                    a, b = a[ok], b[ok]
                 if how == "star":
                     _join(root, node[a], node[b])
                 elif how == "apart" and len(a):
@@ -169,6 +174,17 @@ def _walker(bits: int, budget: int, limit: int | None, how: str):
     return run
 
 
+def _first_place(x: np.ndarray, bits: int, budget: int) -> np.ndarray:
+    """The first lane, and block of it, in which pairs of whole fingerprints meet, by the bits in which they differ."""
+    mask = np.uint64((1 << bits) - 1)
+    lanes = np.stack([(x >> np.uint64(k * bits)) & mask for k in range(64 // bits)], axis=2).reshape(len(x), -1)
+    lane = (np.bitwise_count(lanes) <= budget).argmax(axis=1)
+    own = lanes[np.arange(len(x)), lane]
+    blocks = trie.cuts(bits, budget)
+    equal = [(own >> np.uint64(bits - at - width)) & np.uint64((1 << width) - 1) == 0 for at, width in blocks]
+    return lane * len(blocks) + np.stack(equal, axis=1).argmax(axis=1)
+
+
 def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Union the nodes of each pair; ``root`` leads every node to the least of its set."""
     while len(a):
@@ -220,7 +236,9 @@ def links(strings: DataFrame, bits: int, budget: int, limit: int | None = None,
         front = F.shiftrightunsigned(t, bits - width)
         turned.append(F.struct(F.lit(k).alias("block"), front.alias("front"), t.alias("t"), F.lit(width).alias("width")))
     rows = strings.select("lane", *carried, F.explode(F.array(*turned)).alias("x")).select("lane", *carried, "x.*")
-    rows = rows.select(F.xxhash64("lane", "block", "front").alias("key"), "t", "width", *carried)
+    key, place = F.xxhash64("lane", "block", "front").alias("key"), (F.col("lane") * len(blocks) + F.col("block")).cast("long")
+    rows = rows.select(key, "t", "width", *carried, *([place.alias("place")] if how == "apart" else []))
+    carried += ["place"] if how == "apart" else []
 
     total = strings.count()
     sizes = rows.groupBy("key").count().filter(F.col("count") > HOT).select("key")
