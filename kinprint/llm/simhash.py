@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinprint.llm import trie
-from kinprint.llm.blocks import pack, unpack
+from kinprint.llm.blocks import pack, release, unpack
 from kinprint.operators.components import connected_components
 from kinprint.session import fresh, written
 
@@ -170,6 +170,7 @@ def _walker(bits: int, budget: int, limit: int | None, how: str):
         if len(at):
             columns = [pa.array(ids[at]), pa.array(ids[partner[at]]), pa.array(least[at])]
             yield pa.RecordBatch.from_arrays(columns, names=["u", "v", "differ"])
+        release()
 
     return run
 
@@ -199,21 +200,16 @@ def _join(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
         a, b = low, high
 
 
-def _expanded(i, j, first, count, step=1 << 20):
-    """Row pairs of pairs of runs; a run with itself gives each pair once."""
+def _expanded(i, j, first, count, step=1 << 17):
+    """Row pairs of pairs of runs, ``step`` at once however long a run is; a run with itself gives each pair once."""
     size = count[i] * count[j]
     ends = np.cumsum(size)
-    at = 0
-    while at < len(size):
-        base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + step, "right")))
-        t = size[at:to]
-        k = np.repeat(np.arange(at, to), t)
-        off = np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t)
-        a, b = off // count[j][k], off % count[j][k]
+    for at in range(0, int(ends[-1]) if len(ends) else 0, step):
+        t = np.arange(at, min(at + step, int(ends[-1])))
+        k = np.searchsorted(ends, t, "right")
+        a, b = np.divmod(t - (ends[k] - size[k]), count[j[k]])
         ok = (i[k] != j[k]) | (a < b)
         yield first[i[k]][ok] + a[ok], first[j[k]][ok] + b[ok]
-        at = to
 
 
 def links(strings: DataFrame, bits: int, budget: int, limit: int | None = None, how: str = "star") -> DataFrame:
@@ -314,6 +310,7 @@ def _sketches(batches):
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(node, pa.int64()), lists], names=["id", "h", "node", "fp"]
         )
+    release()
 
 
 def _sets(batches):

@@ -13,9 +13,11 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Node pairs that are walked at once; more wait their turn, so memory is bounded.
-FRONTIER = 1 << 18
+FRONTIER = 1 << 16
 #: A node pair with at most this many leaf pairs is compared leaf by leaf.
-LEAVES = 64
+LEAVES = 128
+#: Leaf pairs that are compared at once.
+BATCH = 1 << 17
 
 
 def _split(words: np.ndarray, lo: np.ndarray, hi: np.ndarray, bit: np.uint64) -> np.ndarray:
@@ -89,9 +91,9 @@ def _leaves(words, alo, ahi, blo, bhi, budget, bits, skip):
     ends = np.cumsum(total)
     start = 0
     while start < len(total):
-        # As many node pairs as fit a batch; a wide pair of nodes is a batch of its own.
+        # As many node pairs as fit a batch, and one at least.
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + (1 << 21), "right")))
+        stop = max(start + 1, int(np.searchsorted(ends, base + BATCH, "right")))
         t = total[start:stop]
         k = np.repeat(np.arange(start, stop), t)
         off = np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t)

@@ -48,6 +48,22 @@ def test_trie_walk_finds_every_pair(bits, budget, n):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def test_long_runs_expand_in_steps():
+    first, count = np.array([0, 7, 9, 10]), np.array([7, 2, 1, 50])
+    i, j = np.array([0, 0, 2, 3]), np.array([0, 1, 3, 3])
+    want = [
+        (a, b)
+        for x, y in zip(i, j)
+        for a in range(first[x], first[x] + count[x])
+        for b in range(first[y], first[y] + count[y])
+        if x != y or a < b
+    ]
+    parts = list(simhash._expanded(i, j, first, count, 16))
+    assert [(int(a), int(b)) for p, q in parts for a, b in zip(p, q)] == want
+    assert max(len(p) for p, _ in parts) <= 16
+    assert not list(simhash._expanded(i[:0], j[:0], first, count))
+
+
 TEXTS = [
     (1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "One"), (6, "a b c d e f g"), (7, "A b c d e f g"),
     (7, "a b c d e f g"), (8, "word " * 3000), (9, "é\xa0ü x\x1fy " * 40), (None, "a b c d e f g"), (None, "lonely row"),
