@@ -69,6 +69,55 @@ def test_pairs_and_stats(spark):
     assert row["distances"] == [dist(values[3], v) for v in values]
 
 
+def joined_or_shuffled(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return [x for x in ("CartesianProduct", "SortMergeJoin", "Window", "SortAggregate", "ObjectHashAggregate") if x in plan]
+
+
+def test_pairs_are_not_shuffled(spark):
+    _, h = sample(spark)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not joined_or_shuffled(pairs.all_pairs(h, N_BITS))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_matrix_text(spark):
+    values, h = sample(spark)
+    rows = pairs.matrix_text(h)
+    assert not joined_or_shuffled(rows)
+    assert {r["i"]: r["distances"] for r in rows.collect()} == {i: ",".join(str(dist(v, x)) for x in values) for i, v in enumerate(values)}
+    assert pairs.matrix_text(h.filter("false")).count() == 0
+    wide = spark.createDataFrame([(9, [0xFFFFFFFF, 1, 0]), (4, [0, 0, 1 << 31])], "file_idx long, words array<long>")
+    assert {r["i"]: r["distances"] for r in pairs.matrix_text(wide, ";").collect()} == {4: "0;34", 9: "34;0"}
+
+
+def slow_cores(values, m):
+    k = max(1, min(m, len(values)) - 1)
+    return [sorted(dist(v, x) for j, x in enumerate(values) if j != i)[k - 1] for i, v in enumerate(values)]
+
+
+@pytest.mark.parametrize("m", [2, 3, 9, 99])
+def test_core_distances_without_pairs(spark, m):
+    values, h = sample(spark)
+    found = pairs.core_distances(h, m)
+    assert not joined_or_shuffled(found)
+    assert {r["file_idx"]: r["core"] for r in found.collect()} == dict(enumerate(slow_cores(values, m)))
+    assert pairs.core_distances(h.limit(1), m).count() == 0 and pairs.core_distances(h.filter("false"), m).count() == 0
+
+
+def test_mutual_reachability_shuffles_no_pairs(spark):
+    values, h = sample(spark)
+    core = slow_cores(values, 3)
+    found = pairs.mutual_reachability(h, N_BITS, 3)
+    want = {(i, j): max(dist(values[i], values[j]), core[i], core[j]) for i, j in itertools.combinations(range(len(values)), 2)}
+    assert {(r["i"], r["j"]): r["w"] for r in found.collect()} == want
+    plan = pairs.mutual_reachability(h, N_BITS, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastNestedLoopJoin") == 1 and "Window" not in plan and "CartesianProduct" not in plan
+
+
 def test_find(spark):
     values, h = sample(spark)
     q = h.filter("file_idx in (1, 4)").selectExpr("file_idx as query", "words")
