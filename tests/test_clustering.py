@@ -152,6 +152,48 @@ def test_linkage(spark, linkage):
     assert [(r["merged_a"], r["merged_b"], r["distance"]) for r in got] == merges
 
 
+@pytest.mark.parametrize("linkage", cl.LINKAGES)
+def test_linkage_of_sparse_links_matches_the_definition(linkage):
+    for seed in range(25):
+        rnd = random.Random(seed)
+        values = [rnd.getrandbits(7) for _ in range(26)]
+        want, merges = slow_linkage(values, linkage, 3)
+        first = [values.index(v) for v in dict.fromkeys(values)]
+        different = [values[i] for i in first]
+        ends = [(a, b, dist(different[a], different[b])) for a, b in itertools.combinations(range(len(first)), 2)]
+        links = tuple(np.array(x) for x in zip(*[e for e in ends if e[2] <= 3], strict=True))
+        words = np.array(different, np.uint64)[:, None]
+        found = cl.Linkage(words, np.array([values.count(v) for v in different]), links, linkage, 3)
+        assert [(first[a], first[b], d) for a, b, d in found.merges] == [m for m in merges if m[2]]
+        assert {i: first[found.slot[different.index(v)]] for i, v in enumerate(values)} == want
+
+
+@pytest.fixture(scope="module")
+def connected(spark):
+    """6,000 hashes of 13 bits with copies; they form one component at distance 2."""
+    return spark.range(6000).selectExpr("id as file_idx", "array(shiftleft(pmod(id * 2731 + id % 7, 8192), 19)) as words")
+
+
+@pytest.mark.parametrize("linkage", cl.LINKAGES)
+def test_linkage_of_a_large_component(connected, linkage):
+    rows = cl.hierarchical(connected, 13, linkage, 2).collect()
+    assert len(rows) == 6000 and all(r["leader"] <= r["file_idx"] for r in rows)
+
+
+def test_dendrogram_of_a_large_component(connected):
+    merged = cl.dendrogram(connected, 13, "complete", 2).collect()
+    leaders = {r["leader"] for r in cl.hierarchical(connected, 13, "complete", 2).collect()}
+    assert len(merged) == 6000 - len(leaders) and sorted(r["step"] for r in merged) == list(range(len(merged)))
+
+
+def test_greedy_of_a_large_component(connected):
+    values = [r["words"][0] for r in connected.orderBy("file_idx").collect()]
+    owner = {}
+    for i, v in enumerate(values):
+        owner[i] = min((j for j in set(owner.values()) if dist(values[j], v) <= 2), default=i)
+    assert {r["file_idx"]: r["leader"] for r in cl.greedy(connected, 13, 2).collect()} == owner
+
+
 def test_linkage_errors(spark):
     _, h = sample(spark, 5, copies=False)
     with pytest.raises(ValueError):
