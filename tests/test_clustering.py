@@ -128,6 +128,19 @@ def test_find(spark):
     assert all(r["d"] <= 2 for r in pairs.find(h, q, N_BITS, top=0, threshold=2).collect())
 
 
+def test_find_makes_no_table_of_pairs(spark):
+    values, h = sample(spark, 300)
+    q = h.filter("file_idx % 7 = 0").selectExpr("file_idx as query", "words")
+    want = sorted((k, i, d) for k in range(0, 300, 7) for d, i in sorted((dist(values[k], v), i) for i, v in enumerate(values))[:9])
+    for frame in (h.repartition(5), h.coalesce(1)):
+        found = pairs.find(frame, q, N_BITS, top=9)
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in found.collect()) == want
+    near = pairs.find(h, q, N_BITS, top=9, threshold=1).collect()
+    assert sorted(tuple(r) for r in near) == [x for x in want if x[2] <= 1]
+    assert pairs.find(h, q.filter("false"), N_BITS, top=9).count() == 0
+
+
 @pytest.mark.parametrize("t", [0, 2])
 def test_threshold_groups_and_stats(spark, t):
     values, h = sample(spark)
