@@ -244,6 +244,26 @@ def test_spanning_tree_weight():
     assert len(edges) == 24 and sum(e[0] for e in edges) == total
 
 
+@pytest.mark.parametrize("m", [2, 3, 5])
+def test_edges_by_blocks_are_those_of_one_machine(spark, m):
+    rnd = random.Random(m)
+    for bits_, n in ((5, 60), (9, 80), (32, 12)):
+        values = [rnd.getrandbits(bits_) << (32 - bits_) for _ in range(n)]
+        h = spark.createDataFrame([(10 + 3 * k, [v]) for k, v in enumerate(values)], "file_idx long, words array<long>")
+        want = cl.Density(np.array(values, np.uint64)[:, None], m)
+        assert cl.joined_edges(spark, cl.dense.collected(h), m - 1) == want.edges
+        members, tree = cl.density(h, m)
+        got = sorted(tuple(r) for r in members.collect())
+        assert got == [(10 + 3 * k, int(g), float(c)) for k, (g, c) in enumerate(zip(want.labels, want.confidence, strict=True))]
+        assert [tuple(r) for r in tree.collect()] == want.condensed
+
+
+def test_density_of_many_hashes(spark):
+    h = spark.range(21_000).selectExpr("id as file_idx", "array(shiftleft(pmod(id * 7919, 4096), 20)) as words")
+    members, _ = cl.density(h, 3)
+    assert members.count() == 21_000
+
+
 def test_density_of_clear_blobs(spark):
     rnd = random.Random(0)
     centres = [0, 0x0FFF, 0xFF00]
