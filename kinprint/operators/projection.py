@@ -1,14 +1,19 @@
-"""Two- and three-dimensional maps of hashes: PCA in Spark, t-SNE on one machine up to a stated size."""
+"""Two- and three-dimensional maps of hashes: PCA in Spark, exact t-SNE, by blocks of pairs where there are many."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinprint.functions import bits
+from kinprint.operators import dense
 
-MAX_TSNE = 5_000
+#: Hashes up to which t-SNE holds all pairs on the driver; beyond, blocks of them are made on the executors in each round.
+ONE_MACHINE = 5_000
+#: Blocks that a round of t-SNE is dealt to.
+ROUND_TASKS = 24
 
 
 def features(hashes: DataFrame, n_bits: int) -> DataFrame:
@@ -73,36 +78,118 @@ def joint_probabilities(d2: np.ndarray, perplexity: float) -> np.ndarray:
 def tsne(hashes: DataFrame, n_bits: int, dims: int = 2, perplexity: float = 30.0, iterations: int = 1000, rate: float = 200.0) -> DataFrame:
     """(file_idx, point). Exact and without random numbers: it starts from the PCA, scaled to 1e-4.
 
-    For 0/1 features the squared distance is the Hamming distance. Up to ``MAX_TSNE`` hashes are
-    collected; more raise an error.
+    For 0/1 features the squared distance is the Hamming distance. Beyond ``ONE_MACHINE`` hashes the driver
+    holds one place for each different hash, and each round meets all their pairs on the executors.
     """
     from kinprint.operators.clustering import distances
 
     spark = hashes.sparkSession
-    rows = hashes.select("file_idx", "words").orderBy("file_idx").limit(MAX_TSNE + 1).collect()
-    if len(rows) > MAX_TSNE:
-        raise ValueError(f"more than {MAX_TSNE} hashes")
+    rows = hashes.select("file_idx", "words").orderBy("file_idx").limit(ONE_MACHINE + 1).collect()
+    if len(rows) > ONE_MACHINE:
+        return _tsne_by_blocks(hashes, n_bits, dims, perplexity, iterations, rate)
     kind = "file_idx long, point array<double>"
     if len(rows) < 2:
         return spark.createDataFrame([(r["file_idx"], [0.0] * dims) for r in rows], kind)
     words = np.array([r["words"] for r in rows], np.uint64).reshape(len(rows), -1)
     p = np.maximum(joint_probabilities(distances(words).astype(float), perplexity), 1e-12)
     start = {r["file_idx"]: r["point"] for r in pca(hashes, n_bits, dims)[0].collect()}
-    y = np.array([start[r["file_idx"]] for r in rows])
+
+    def gradient(y, early):
+        near = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(axis=2))
+        np.fill_diagonal(near, 0)
+        pull = (early * p - np.maximum(near / near.sum(), 1e-12)) * near
+        return 4 * (pull.sum(axis=1)[:, None] * y - pull @ y)
+
+    y = descend(np.array([start[r["file_idx"]] for r in rows]), np.ones(len(rows)), gradient, iterations, rate)
+    return spark.createDataFrame([(r["file_idx"], [float(v) for v in x]) for r, x in zip(rows, y, strict=True)], kind)
+
+
+def descend(y: np.ndarray, weight: np.ndarray, gradient, iterations: int, rate: float) -> np.ndarray:
+    """t-SNE's gradient descent from ``y`` scaled to 1e-4, centred by weight."""
     most = np.abs(y).max()
     y = y / most * 1e-4 if most > 0 else y
     last, gains = np.zeros_like(y), np.ones_like(y)
     for it in range(iterations):
-        near = 1 / (1 + ((y[:, None] - y[None]) ** 2).sum(axis=2))
-        np.fill_diagonal(near, 0)
-        pull = ((4.0 if it < 250 else 1.0) * p - np.maximum(near / near.sum(), 1e-12)) * near
-        grad = 4 * (pull.sum(axis=1)[:, None] * y - pull @ y)
+        grad = gradient(y, 4.0 if it < 250 else 1.0)
         step = y - last
         gains = np.maximum(np.where(np.sign(grad) == np.sign(step), gains * 0.8, gains + 0.2), 0.01)
         last, y = y, y + (0.5 if it < 250 else 0.8) * step - rate * gains * grad
-        shift = y.mean(axis=0)
+        shift = np.average(y, axis=0, weights=weight)
         y, last = y - shift, last - shift
-    return spark.createDataFrame([(r["file_idx"], [float(v) for v in x]) for r, x in zip(rows, y, strict=True)], kind)
+    return y
+
+
+def shares(counts: np.ndarray, perplexity: float) -> np.ndarray:
+    """Rows of ``joint_probabilities`` before they are made symmetric, by distance: ``counts`` has how many others are at each."""
+    n, t = counts[0].sum() + 1, np.arange(counts.shape[1])
+    target = np.log(max(1.0, min(perplexity, n - 1)))
+    away = np.maximum(t - (counts > 0).argmax(axis=1)[:, None], 0)
+    beta, low, high = np.ones(len(counts)), np.zeros(len(counts)), np.full(len(counts), np.inf)
+    out, left = np.zeros(counts.shape), np.arange(len(counts))
+    for _ in range(50):
+        e = np.exp(-away[left] * beta[left, None])
+        q = e / (e * counts[left]).sum(axis=1)[:, None]
+        entropy = -(counts[left] * q * np.log(np.where(q > 0, q, 1))).sum(axis=1)
+        out[left] = q
+        on = np.abs(entropy - target) >= 1e-5
+        left, wide = left[on], entropy[on] > target
+        low[left] = np.where(wide, beta[left], low[left])
+        high[left] = np.where(wide, high[left], beta[left])
+        beta[left] = np.where(np.isinf(high[left]), beta[left] * 2, (low[left] + high[left]) / 2)
+        if not len(left):
+            break
+    return out
+
+
+def _tsne_by_blocks(hashes: DataFrame, n_bits: int, dims: int, perplexity: float, iterations: int, rate: float) -> DataFrame:
+    """The same for many hashes. Copies start and stay together, so they are one place with a weight. Affinities
+    depend on the distance alone, so a row has n_bits + 1. The floor of 1e-12 under the map's own shares is left out."""
+    spark = hashes.sparkSession
+    context, points = spark.sparkContext, dense.collected(hashes)
+    codes, weight, n = points.codes, points.copies.astype(float), len(points.first)
+    rows = -(-n // ROUND_TASKS)
+    held = context.broadcast((codes, weight))
+
+    def count(low, high):
+        codes, weight = held.value
+        for at in range(low, high, dense.rows_at_once(n)):
+            d = dense.between(codes[at : min(high, at + dense.rows_at_once(n))], codes)
+            each = np.stack([(d == t) @ weight for t in range(n_bits + 1)], axis=1)
+            yield pa.record_batch([pa.array(np.arange(at, at + len(d))), pa.array(each.tolist())], names=["at", "n"])
+
+    found = dense.by_block(spark, n, rows, count, "at long, n array<double>").toArrow()
+    counts = np.array(found.column("n").to_pylist())[np.argsort(found.column("at").to_numpy())]
+    counts[:, 0] -= 1
+    q = context.broadcast(shares(counts, perplexity) / (2 * len(points.idx)))
+
+    def gradient(y, early):
+        now = context.broadcast(y)
+
+        def pull(low, high):
+            (codes, weight), share, y = held.value, q.value, now.value
+            base = np.arange(n) * (n_bits + 1)
+            step = max(1, dense.rows_at_once(n) // 8)
+            for at in range(low, high, step):
+                to = min(high, at + step)
+                d = dense.between(codes[at:to], codes).astype(np.int64)
+                p = np.take_along_axis(share[at:to], d, axis=1) + share.reshape(-1).take(base + d)
+                near = sum(np.subtract.outer(y[at:to, k], y[:, k]) ** 2 for k in range(y.shape[1]))
+                near = 1 / (1 + near)
+                heavy = near * weight
+                sums = [heavy.sum(axis=1) - 1]
+                for force in (np.maximum(p, 1e-12) * heavy, near * heavy):
+                    sums += list((force.sum(axis=1)[:, None] * y[at:to] - force @ y).T)
+                yield pa.record_batch([pa.array(np.arange(at, to)), pa.array(np.stack(sums, axis=1).tolist())], names=["at", "x"])
+
+        made = dense.by_block(spark, n, rows, pull, "at long, x array<double>").toArrow()
+        now.unpersist()
+        x = np.array(made.column("x").to_pylist())[np.argsort(made.column("at").to_numpy())]
+        return 4 * (early * x[:, 1 : 1 + dims] - x[:, 1 + dims :] / (weight @ x[:, 0]))
+
+    start = {r["file_idx"]: r["point"] for r in pca(hashes, n_bits, dims)[0].collect()}
+    y = descend(np.array([start[i] for i in points.idx[points.first].tolist()]), weight, gradient, iterations, rate)
+    made = pa.table({"file_idx": points.idx, "point": pa.array(y[points.kind].tolist(), pa.list_(pa.float64()))})
+    return spark.createDataFrame(made)
 
 
 def project(hashes: DataFrame, n_bits: int, method: str = "pca", dims: int = 3, **options) -> DataFrame:

@@ -314,6 +314,14 @@ def test_tsne_keeps_neighbours(spark):
         projection.project(h, N_BITS, "umap")
 
 
+def test_tsne_by_blocks_is_that_of_one_machine(spark, monkeypatch):
+    _, h = sample(spark, 60)
+    one = {r["file_idx"]: r["point"] for r in projection.tsne(h, N_BITS, 2, 8.0, 12, 10.0).collect()}
+    monkeypatch.setattr(projection, "ONE_MACHINE", 59)
+    many = {r["file_idx"]: r["point"] for r in projection.tsne(h, N_BITS, 2, 8.0, 12, 10.0).collect()}
+    assert one.keys() == many.keys() and all(np.allclose(one[i], many[i], rtol=1e-6, atol=1e-12) for i in one)
+
+
 def test_removal(spark):
     members = spark.createDataFrame([(0, 0), (1, 0), (2, 5), (3, 5), (4, 5), (5, None)], "file_idx long, group long")
     got = {r["file_idx"]: r["group"] for r in edit.from_groups(members, 1).collect()}
