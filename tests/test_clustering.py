@@ -118,6 +118,39 @@ def test_mutual_reachability_shuffles_no_pairs(spark):
     assert plan.count("BroadcastNestedLoopJoin") == 1 and "Window" not in plan and "CartesianProduct" not in plan
 
 
+def many(spark, n=1500):
+    """Hashes with copies and gaps between their indices, out of order: (idx, values, frame)."""
+    rng = np.random.default_rng(5)
+    idx, values = rng.permutation(3 * n)[:n], rng.integers(0, 1 << N_BITS, n // 3)[rng.integers(0, n // 3, n)]
+    rows = [(int(k), [int(v) << (32 - N_BITS)]) for k, v in zip(idx, values, strict=True)]
+    return idx, values, spark.createDataFrame(rows, "file_idx long, words array<long>")
+
+
+def written_pairs(spark, frame, path):
+    """The rows (i, j, value) in order, and the bytes a row that they take."""
+    frame.write.parquet(str(path))
+    back = spark.read.parquet(str(path)).toArrow()
+    rows = np.stack([c.to_numpy() for c in back.columns], axis=1)
+    return rows[np.lexsort(rows.T[1::-1])], sum(p.stat().st_size for p in path.glob("*.parquet")) / len(rows)
+
+
+def wanted_pairs(idx, values, floor):
+    order = np.argsort(idx)
+    idx, values, floor = idx[order], values[order], floor[order]
+    i, j = np.triu_indices(len(idx), 1)
+    w = np.maximum(np.bitwise_count(values[i] ^ values[j]), np.maximum(floor[i], floor[j]))
+    rows = np.stack([idx[i], idx[j], w], axis=1)
+    return rows[np.lexsort(rows.T[1::-1])]
+
+
+def test_mutual_reachability_takes_little_room(spark, tmp_path):
+    idx, values, h = many(spark)
+    d = np.sort(np.bitwise_count(values[:, None] ^ values[None]), axis=1)  # first a hash itself
+    rows, size = written_pairs(spark, pairs.mutual_reachability(h, N_BITS, 3), tmp_path / "w")
+    assert np.array_equal(rows, wanted_pairs(idx, values, d[:, 2]))
+    assert size < 0.8
+
+
 def test_find(spark):
     values, h = sample(spark)
     q = h.filter("file_idx in (1, 4)").selectExpr("file_idx as query", "words")
