@@ -151,6 +151,24 @@ def test_mutual_reachability_takes_little_room(spark, tmp_path):
     assert size < 0.8
 
 
+def test_all_pairs_take_little_room(spark, tmp_path):
+    idx, values, h = many(spark)
+    rows, size = written_pairs(spark, pairs.all_pairs(h, N_BITS), tmp_path / "d")
+    assert np.array_equal(rows, wanted_pairs(idx, values, np.zeros(len(idx), int)))
+    assert size < 0.8
+
+
+def test_all_pairs_of_odd_frames(spark):
+    kind = "file_idx int, words array<long>"
+    rows = [(4, [1, 0, 7]), (4, [1, 0, 6]), (None, [0, 0, 0]), (-2, [0xFFFFFFFF, 1, 0]), (9, [1, 0, 7])]
+    frame = spark.createDataFrame(rows, kind)
+    found = pairs.all_pairs(frame, 96)
+    assert found.dtypes == pairs.joined_pairs(frame, 96).dtypes == [("i", "int"), ("j", "int"), ("d", "int")]
+    want = [(-2, 4, 34), (-2, 4, 35), (-2, 9, 35), (4, 9, 0), (4, 9, 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, pairs.joined_pairs(frame, 96).collect())) == want
+    assert pairs.all_pairs(frame.limit(1), 96).count() == pairs.all_pairs(frame.filter("false"), 96).count() == 0
+
+
 def test_find(spark):
     values, h = sample(spark)
     q = h.filter("file_idx in (1, 4)").selectExpr("file_idx as query", "words")
