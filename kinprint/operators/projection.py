@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,10 @@ from kinprint.operators import dense
 ONE_MACHINE = 5_000
 #: Blocks that a round of t-SNE is dealt to.
 ROUND_TASKS = 24
+#: Rows and columns of the map's places that are met at once in a round; a tile of doubles fits a processor's cache.
+TILE = 128, 256
+#: The least affinity of a pair.
+FLOOR = 1e-12
 
 
 def features(hashes: DataFrame, n_bits: int) -> DataFrame:
@@ -84,14 +89,14 @@ def tsne(hashes: DataFrame, n_bits: int, dims: int = 2, perplexity: float = 30.0
     from kinprint.operators.clustering import distances
 
     spark = hashes.sparkSession
-    rows = hashes.select("file_idx", "words").orderBy("file_idx").limit(ONE_MACHINE + 1).collect()
-    if len(rows) > ONE_MACHINE:
+    if hashes.limit(ONE_MACHINE + 1).count() > ONE_MACHINE:
         return _tsne_by_blocks(hashes, n_bits, dims, perplexity, iterations, rate)
+    rows = hashes.select("file_idx", "words").orderBy("file_idx").collect()
     kind = "file_idx long, point array<double>"
     if len(rows) < 2:
         return spark.createDataFrame([(r["file_idx"], [0.0] * dims) for r in rows], kind)
     words = np.array([r["words"] for r in rows], np.uint64).reshape(len(rows), -1)
-    p = np.maximum(joint_probabilities(distances(words).astype(float), perplexity), 1e-12)
+    p = np.maximum(joint_probabilities(distances(words).astype(float), perplexity), FLOOR)
     start = {r["file_idx"]: r["point"] for r in pca(hashes, n_bits, dims)[0].collect()}
 
     def gradient(y, early):
@@ -141,9 +146,93 @@ def shares(counts: np.ndarray, perplexity: float) -> np.ndarray:
     return out
 
 
+def near_links(codes: np.ndarray, share: np.ndarray, low: int, high: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Which others each of the rows ``low`` to ``high`` has an affinity over ``FLOOR`` with, as (first row, how many by
+    distance and row, the others in that order) for a few rows each. They don't change from round to round."""
+    n, out = len(codes), []
+    reach = int((2 * share.max(axis=0) > FLOOR).sum()) - 1  # shares fall with the distance
+    for at in range(low, high, dense.rows_at_once(n)):
+        d = dense.between(codes[at : min(high, at + dense.rows_at_once(n))], codes)
+        i, j = np.nonzero(d <= reach)
+        t = d[i, j]
+        over = share[i + at, t] + share[j, t] > FLOOR
+        i, j, t = i[over], j[over], t[over]
+        by = np.argsort(t, kind="stable")
+        many = np.bincount(t.astype(np.int64) * len(d) + i, minlength=(reach + 1) * len(d)).reshape(reach + 1, len(d))
+        out.append((at, many, j[by].astype(np.min_scalar_type(n))))
+    return out
+
+
+def attraction(axes: list[np.ndarray], weight: np.ndarray, heavy: np.ndarray, share: np.ndarray, links: tuple[int, np.ndarray, np.ndarray]) -> np.ndarray:
+    """By row of ``links``, the pull of its others beyond that of ``FLOOR``. ``axes`` has the coordinates, one array
+    each; ``share`` a row for each distance, and ``heavy`` the same times the weight."""
+    at, many, others = links
+    out, start = np.zeros((many.shape[1], len(axes))), 0
+    for t, each in enumerate(many):
+        has = np.flatnonzero(each)
+        each = each[has]
+        j = others[start : start + int(each.sum())].astype(np.intp)
+        start += len(j)
+        if not len(j):
+            continue
+        force = weight.take(j, mode="clip")  # all are in range; the check costs twice the reading
+        force *= np.repeat(share[t, at + has] - FLOOR, each)
+        force += heavy[t].take(j, mode="clip")
+        aways, far = [], np.ones(len(j))
+        for c in axes:
+            away = c.take(j, mode="clip")
+            np.subtract(np.repeat(c[at + has], each), away, out=away)
+            far += away * away
+            aways.append(away)
+        force /= far
+        for k, away in enumerate(aways):
+            away *= force
+            out[has, k] += np.add.reduceat(away, np.cumsum(each) - each)
+    return out
+
+
+def closeness(y: np.ndarray, weight: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """For the rows ``low`` to ``high``, sums over all places of 1 / (1 + squared distance) and of its square, in two
+    arrays: times the weight, and times the weight and each coordinate. Tiles stay in the processor's cache."""
+    n, own = len(y), (y**2).sum(axis=1)
+    heavy = np.column_stack([weight, weight[:, None] * y])
+    left = np.column_stack([1 + own, np.ones(n), -2 * y])
+    right = np.ascontiguousarray(np.column_stack([np.ones(n), own, y]).T)
+    # One product of matrices gives a tile's distances, to 1e-16 of the map's squared width; wide maps take differences.
+    wide = own.max(initial=0) > 1e6
+    once, twice = np.zeros((high - low, heavy.shape[1])), np.zeros((high - low, heavy.shape[1]))
+    for at in range(low, high, TILE[0]):
+        to = min(high, at + TILE[0])
+        for b in range(0, n, TILE[1]):
+            e = min(n, b + TILE[1])
+            if wide:
+                x = 1 + sum(np.subtract.outer(y[at:to, k], y[b:e, k]) ** 2 for k in range(y.shape[1]))
+            else:
+                x = left[at:to] @ right[:, b:e]
+            np.reciprocal(x, out=x)
+            once[at - low : to - low] += x @ heavy[b:e]
+            np.multiply(x, x, out=x)
+            twice[at - low : to - low] += x @ heavy[b:e]
+    return once, twice
+
+
+def _pca_of(points: dense.Points, n_bits: int, dims: int) -> np.ndarray:
+    """``pca``'s points of the different strings, copies counted, from the hashes that the driver holds."""
+    words = points.words[points.first].astype(np.int64)
+    x = np.stack([words[:, k // 32] >> (31 - k % 32) & 1 for k in range(n_bits)], axis=1).astype(float)
+    x -= np.average(x, axis=0, weights=points.copies)
+    loadings = np.linalg.eigh((x * points.copies[:, None]).T @ x)[1][:, ::-1][:, :dims]
+    largest = np.take_along_axis(loadings, np.abs(loadings).argmax(axis=0)[None], axis=0)
+    return np.pad(x @ (loadings * np.where(largest >= 0, 1.0, -1.0)), ((0, 0), (0, max(0, dims - n_bits))))
+
+
 def _tsne_by_blocks(hashes: DataFrame, n_bits: int, dims: int, perplexity: float, iterations: int, rate: float) -> DataFrame:
     """The same for many hashes. Copies start and stay together, so they are one place with a weight. Affinities
-    depend on the distance alone, so a row has n_bits + 1. The floor of 1e-12 under the map's own shares is left out."""
+    depend on the distance alone, so a row has n_bits + 1. The floor of 1e-12 under the map's own shares is left out.
+
+    All pairs are met in each round. Affinities at their floor are one number, so only the pairs above it, which are
+    found once and held by the executors, are met one by one; the floor's part falls out of the sums over all pairs.
+    """
     spark = hashes.sparkSession
     context, points = spark.sparkContext, dense.collected(hashes)
     codes, weight, n = points.codes, points.copies.astype(float), len(points.first)
@@ -154,40 +243,38 @@ def _tsne_by_blocks(hashes: DataFrame, n_bits: int, dims: int, perplexity: float
         codes, weight = held.value
         for at in range(low, high, dense.rows_at_once(n)):
             d = dense.between(codes[at : min(high, at + dense.rows_at_once(n))], codes)
-            each = np.stack([(d == t) @ weight for t in range(n_bits + 1)], axis=1)
+            flat = d + np.arange(len(d))[:, None] * (n_bits + 1)
+            each = np.bincount(flat.ravel(), np.broadcast_to(weight, d.shape).ravel(), len(d) * (n_bits + 1)).reshape(len(d), -1)
             yield pa.record_batch([pa.array(np.arange(at, at + len(d))), pa.array(each.tolist())], names=["at", "n"])
 
     found = dense.by_block(spark, n, rows, count, "at long, n array<double>").toArrow()
     counts = np.array(found.column("n").to_pylist())[np.argsort(found.column("at").to_numpy())]
     counts[:, 0] -= 1
     q = context.broadcast(shares(counts, perplexity) / (2 * len(points.idx)))
+    blocks = context.parallelize(range(0, n, rows), -(-n // rows))
+    linked = blocks.map(lambda low: (low, near_links(held.value[0], q.value, low, min(n, low + rows)))).persist(StorageLevel.MEMORY_AND_DISK)
 
     def gradient(y, early):
         now = context.broadcast(y)
 
-        def pull(low, high):
-            (codes, weight), share, y = held.value, q.value, now.value
-            base = np.arange(n) * (n_bits + 1)
-            step = max(1, dense.rows_at_once(n) // 8)
-            for at in range(low, high, step):
-                to = min(high, at + step)
-                d = dense.between(codes[at:to], codes).astype(np.int64)
-                p = np.take_along_axis(share[at:to], d, axis=1) + share.reshape(-1).take(base + d)
-                near = sum(np.subtract.outer(y[at:to, k], y[:, k]) ** 2 for k in range(y.shape[1]))
-                near = 1 / (1 + near)
-                heavy = near * weight
-                sums = [heavy.sum(axis=1) - 1]
-                for force in (np.maximum(p, 1e-12) * heavy, near * heavy):
-                    sums += list((force.sum(axis=1)[:, None] * y[at:to] - force @ y).T)
-                yield pa.record_batch([pa.array(np.arange(at, to)), pa.array(np.stack(sums, axis=1).tolist())], names=["at", "x"])
-
-        made = dense.by_block(spark, n, rows, pull, "at long, x array<double>").toArrow()
-        now.unpersist()
-        x = np.array(made.column("x").to_pylist())[np.argsort(made.column("at").to_numpy())]
-        return 4 * (early * x[:, 1 : 1 + dims] - x[:, 1 + dims :] / (weight @ x[:, 0]))
-
-    start = {r["file_idx"]: r["point"] for r in pca(hashes, n_bits, dims)[0].collect()}
-    y = descend(np.array([start[i] for i in points.idx[points.first].tolist()]), weight, gradient, iterations, rate)
+        def pull(block):
+            (low, links), weight, share, y = block, held.value[1], q.value, now.value
+            once, twice = closeness(y, weight, low, min(n, low + rows))
+            own = y[low : low + rows]
+            near = FLOOR * (once[:, :1] * own - once[:, 1:])
+            axes, share = [np.ascontiguousarray(c) for c in y.T], np.ascontiguousarray(share.T)
+            heavy = share * weight
+            for part in links:
+                near[part[0] - low : part[0] - low + part[1].shape[1]] += attraction(axes, weight, heavy, share, part)
+            return once[:, 0] - 1, near, twice[:, :1] * own - twice[:, 1:]
+
+        made = linked.map(pull).collect()
+        now.destroy()
+        total, near, apart = (np.concatenate(x) for x in zip(*made, strict=True))
+        return 4 * (early * near - apart / (weight @ total))
+
+    y = descend(_pca_of(points, n_bits, dims), weight, gradient, iterations, rate)
+    linked.unpersist()
     made = pa.table({"file_idx": points.idx, "point": pa.array(y[points.kind].tolist(), pa.list_(pa.float64()))})
     return spark.createDataFrame(made)
 

@@ -373,6 +373,43 @@ def test_tsne_by_blocks_is_that_of_one_machine(spark, monkeypatch):
     assert one.keys() == many.keys() and all(np.allclose(one[i], many[i], rtol=1e-6, atol=1e-12) for i in one)
 
 
+def test_tsne_by_blocks_reads_the_hashes_once_and_starts_from_pca(spark, monkeypatch):
+    _, h = sample(spark, 60)
+    h = h.unionByName(h.selectExpr("file_idx + 100 as file_idx", "words"))
+    points = projection.dense.collected(h)
+    want = {r["file_idx"]: r["point"] for r in projection.pca(h, N_BITS, 2)[0].collect()}
+    assert np.allclose(projection._pca_of(points, N_BITS, 2), [want[i] for i in points.idx[points.first].tolist()], rtol=1e-9, atol=1e-12)
+    assert projection._pca_of(points, N_BITS, N_BITS + 2).shape == (len(points.first), N_BITS + 2)
+    monkeypatch.setattr(projection, "ONE_MACHINE", 59)
+    monkeypatch.setattr(projection, "pca", None)  # its plan makes every hash anew for each bit
+    assert projection.tsne(h, N_BITS, 2, 8.0, 3, 10.0).count() == 120
+
+
+@pytest.mark.parametrize("width", [1e-4, 20.0, 2e3])
+def test_a_round_of_tsne_meets_all_pairs(width, monkeypatch):
+    rng = np.random.default_rng(7)
+    codes = np.unique(rng.integers(0, 1 << 16, 900)).astype(np.uint16)[:, None]
+    n, weight, d = len(codes), rng.integers(1, 4, len(codes)).astype(float), projection.dense.between(codes, codes).astype(int)
+    counts = np.stack([(d == t) @ weight for t in range(17)], axis=1)
+    counts[:, 0] -= 1
+    share = projection.shares(counts, 5.0) / (2 * weight.sum())
+    y = rng.standard_normal((n, 2)) * width
+    p = np.take_along_axis(share, d, axis=1) + share.reshape(-1).take(np.arange(n) * 17 + d)
+    near = 1 / (1 + sum(np.subtract.outer(y[:, k], y[:, k]) ** 2 for k in range(2)))
+    pull, push = np.maximum(p, 1e-12) * near * weight, near * near * weight
+    pull, push = (f.sum(axis=1)[:, None] * y - f @ y for f in (pull, push))
+    monkeypatch.setattr(projection, "TILE", (30, 70))
+    monkeypatch.setattr(projection.dense, "CELLS", 40 * n)
+    by_distance, axes, low, high = np.ascontiguousarray(share.T), [np.ascontiguousarray(c) for c in y.T], 100, 351
+    once, twice = projection.closeness(y, weight, low, high)
+    links = projection.near_links(codes, share, low, high)
+    assert sum(len(x[2]) for x in links) == (p[low:high] > 1e-12).sum() < (high - low) * n
+    own = y[low:high]
+    got = projection.FLOOR * (once[:, :1] * own - once[:, 1:]) + np.concatenate([projection.attraction(axes, weight, by_distance * weight, by_distance, x) for x in links])
+    close = lambda a, b: np.allclose(a, b, rtol=1e-7, atol=1e-8 * np.abs(b).max())
+    assert close(once[:, 0], (near * weight)[low:high].sum(axis=1)) and close(got, pull[low:high]) and close(twice[:, :1] * own - twice[:, 1:], push[low:high])
+
+
 def test_removal(spark):
     members = spark.createDataFrame([(0, 0), (1, 0), (2, 5), (3, 5), (4, 5), (5, None)], "file_idx long, group long")
     got = {r["file_idx"]: r["group"] for r in edit.from_groups(members, 1).collect()}
