@@ -75,6 +75,19 @@ class _Words(dict):
         self[word] = found
         return found
 
+    def all(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word; those of the older generation are taken over together."""
+        found = list(map(self.get, words))
+        gaps = [k for k, ids in enumerate(found) if ids is None]
+        asked = [words[k] for k in gaps]
+        for k, word, ids in zip(gaps, asked, map(self.older.get, asked), strict=True):
+            if ids is None:
+                ids = self[word]
+            else:
+                self[word] = ids
+            found[k] = ids
+        return found
+
 
 class WordEncoder:
     """Ids of texts as little-endian unsigned 16-bit bytes, by way of a cache of words."""
@@ -115,14 +128,14 @@ class WordEncoder:
         split = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
         words = split.flatten().dictionary_encode()
         distinct = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
-        known = list(map(self.words.__getitem__, distinct))
+        known = self.words.all(distinct)
         size = np.fromiter(map(len, known), np.int64, len(known)) // 2
-        place = words.indices.to_numpy()
-        n = size[place]
+        place = words.indices.to_numpy().astype(np.intp)
+        n = size.take(place, mode="clip")
         ends = np.cumsum(n)
-        first = (np.cumsum(size) - size)[place]
+        first = (np.cumsum(size) - size).take(place, mode="clip")
         at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(first - (ends - n), n)
-        flat = np.frombuffer(b"".join(known), "<u2")[at].tobytes()
+        flat = np.frombuffer(b"".join(known), "<u2").take(at, mode="clip").tobytes() if len(at) else b""
         edges = np.r_[0, ends][np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy())]] * 2
         return [flat[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
 
@@ -148,7 +161,7 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
     while free < SYMBOLS and len(seq) > 1:
         key = (seq[:-1] << np.uint32(16)) | seq[1:]
         order = np.sort(key)
-        edge = np.flatnonzero(np.r_[True, order[1:] != order[:-1]])
+        edge = np.r_[0, np.flatnonzero(order[1:] != order[:-1]) + 1]
         count = np.diff(np.r_[edge, len(order)])
         pair = order[edge]
         frequent = (count >= MIN_PAIRS) & ~ends[pair >> np.uint32(16)]
@@ -164,18 +177,28 @@ def compress(ids: np.ndarray, base: int, end_id: int = END_ID) -> tuple[np.ndarr
         rank = np.empty(len(pair), np.int32)
         rank[np.argsort(count, kind="stable")] = np.arange(1, len(pair) + 1)
         # Pairs are found by a hash; of pairs that meet in it one waits for a later round.
-        hashed = (key * np.uint32(0x9E3779B1)) >> np.uint32(32 - HASH_BITS)
-        slot = np.zeros(1 << HASH_BITS, np.uint16)
+        hashed = ((key * np.uint32(0x9E3779B1)) >> np.uint32(32 - HASH_BITS)).astype(np.intp)
+        slot, slot_pair, slot_rank = (np.zeros(1 << HASH_BITS, kind) for kind in (np.uint16, np.uint32, np.uint16))
         by_rank = np.argsort(rank)
-        slot[(pair[by_rank] * np.uint32(0x9E3779B1)) >> np.uint32(32 - HASH_BITS)] = by_rank
-        place = slot[hashed]
-        weight = np.where(pair[place] == key, rank[place], 0)
+        home = (pair[by_rank] * np.uint32(0x9E3779B1)) >> np.uint32(32 - HASH_BITS)
+        slot[home] = by_rank
+        slot_pair[home], slot_rank[home] = pair[slot[home]], rank[slot[home]]
+        # Every place is in range; "clip" leaves out the check, which costs more than the reading.
+        weight = slot_rank.take(hashed, mode="clip") * (slot_pair.take(hashed, mode="clip") == key)
         # Of overlapping occurrences the more frequent pair wins, and the first of equals.
         take = weight > 0
         take[1:] &= weight[1:] > weight[:-1]
         take[:-1] &= weight[:-1] >= weight[1:]
+        # In a run of one symbol that is every second one, else a run would lose one symbol a round.
+        again = np.flatnonzero((weight[1:] == weight[:-1]) & (weight[1:] > 0)) + 1
+        if len(again):
+            opens = np.flatnonzero(np.r_[True, again[1:] != again[:-1] + 1])
+            many = np.diff(np.r_[opens, len(again)])
+            odd = (np.arange(len(again)) - np.repeat(opens, many)) % 2 == 1
+            more = again[odd & np.repeat(take[again[opens] - 1], many)]
+            take[more] = weight[more] >= np.r_[weight, 0][more + 1]
         at = np.flatnonzero(take)
-        seq[at] = free + place[at].astype(np.uint32)
+        seq[at] = free + slot[hashed[at]].astype(np.uint32)
         stays = np.ones(len(seq), bool)
         stays[at + 1] = False
         seq = seq[stays]
@@ -200,10 +223,21 @@ def expansions(rules: np.ndarray, lengths: np.ndarray, base: int) -> tuple[np.nd
     first = np.cumsum(size) - size
     flat = np.empty(int(size.sum()), "<u4")
     flat[:base] = np.arange(base)
-    for k, (a, b) in enumerate(rules.tolist()):
-        at = first[base + k]
-        flat[at : at + size[a]] = flat[first[a] : first[a] + size[a]]
-        flat[at + size[a] : at + size[a] + size[b]] = flat[first[b] : first[b] + size[b]]
+    # Rules that only need symbols from before them are written together; a round's rules are such a run.
+    pairs, latest, k = rules.astype(np.int64), rules.max(axis=1).astype(np.int64) - base if len(rules) else np.empty(0, np.int64), 0
+    while k < len(rules):
+        later, to, step = latest[k:], k, 256
+        while to < len(rules):  # most runs are short or end with the rules
+            found = np.flatnonzero(later[to - k : to - k + step] >= k)
+            if len(found):
+                to += int(found[0])
+                break
+            to, step = min(len(rules), to + step), step * 4
+        if to == k:
+            raise ValueError("a rule must need symbols from before it only")
+        made = expand(pairs[k:to].ravel(), (flat, first, size))
+        flat[first[base + k] : first[base + k] + len(made)] = made
+        k = to
     return flat, first, size
 
 
@@ -336,13 +370,15 @@ def shard_table(row: dict):
 
 
 def _decoded(row: dict) -> pa.RecordBatch:
-    table, sums, sizes = shard_table(row), [], []
-    for k in range(len(row["doc_ids"])):
-        ids = decode(row, k, table)
-        sums.append(zlib.crc32(ids.astype("<u4").tobytes()))
-        sizes.append(len(ids))
-    n = len(sums)
-    n_tokens = np.array(sizes, np.int64)
+    flat, first, size = shard_table(row)
+    sequence, at = np.frombuffer(row["sequence"], "<u2"), np.array(row["doc_at"], np.int64)
+    # Documents begin with symbols of their own, so all symbols are expanded at once and cut where documents begin.
+    ids = expand(sequence, (flat, first, size))
+    ends = np.r_[np.cumsum(size[sequence]), 0]
+    edges = np.r_[ends[at - 1], len(ids)]
+    view = memoryview(ids.astype("<u4", copy=False)).cast("B")
+    sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    n, n_tokens = len(sums), np.diff(edges)
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(n, row["part"], np.int32)), pa.array(np.full(n, row["seq"], np.int32)),

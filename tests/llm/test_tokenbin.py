@@ -31,6 +31,30 @@ def test_no_symbol_reaches_over_an_end():
         assert 2 not in tokenbin.expand(np.array([symbol]), table)[:-1]
 
 
+def test_runs_of_one_symbol_are_joined_in_few_rounds():
+    # Each round made new rules for a run and shortened it by one symbol, so a small shard took hundreds of rounds.
+    ids = np.array([*[5] * 3000, 2, 6, *[7] * 1001, 8, 2, *[5, 7] * 700, 2, *[9] * 9, 2])
+    rules, lengths, sequence = tokenbin.compress(ids, 49408)
+    assert (tokenbin.expand(sequence, tokenbin.expansions(rules, lengths, 49408)) == ids).all()
+    assert len(rules) < 80 and len(sequence) < 120
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(3, 6), st.integers(1, 40)), max_size=30), st.integers(1, 6))
+def test_runs_round_trip(runs, times):
+    ids = np.array([x for _ in range(times) for a, n in runs for x in [a] * n] + [2])
+    rules, lengths, sequence = tokenbin.compress(ids, 49408)
+    assert (tokenbin.expand(sequence, tokenbin.expansions(rules, lengths, 49408)) == ids).all()
+
+
+def test_expansions_of_rules_on_rules():
+    rules = np.array([[1, 2], [10, 3], [11, 10], [4, 5], [13, 12]], "<u2")
+    flat, first, size = tokenbin.expansions(rules, np.array([2, 3, 5, 2, 7], "<u4"), 10)
+    assert [flat[a : a + n].tolist() for a, n in zip(first[10:], size[10:])] == [[1, 2], [1, 2, 3], [1, 2, 3, 1, 2], [4, 5], [4, 5, 1, 2, 3, 1, 2]]
+    with pytest.raises(ValueError):
+        tokenbin.expansions(np.array([[1, 10]], "<u2"), np.array([2], "<u4"), 10)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.sampled_from([5, 6, 7]), max_size=6), min_size=1, max_size=12), st.integers(8, 40))
 def test_documents_of_repeated_starts_and_ends_decode_alone(docs, times):
